@@ -100,13 +100,13 @@ def normalize_features(df: DataFrame, features: str) -> DataFrame:
         .agg(F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_pop(F.col("x").cast("double")).alias("std"))
     )
     # One entry per dimension: a few numbers, carried as a scalar subquery.
-    entries = F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))), lambda s: s)
-    table = stats.agg(entries).scalar()
+    table = stats.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std")))).scalar()
 
     def scaled(x: Column, s: Column) -> Column:
         return F.coalesce(F.try_divide(x.cast("double") - s["mean"], s["std"]), F.lit(0.0))
 
-    return df.withColumn(features, F.zip_with(features, table, scaled))
+    with_stats = df.withColumn("__stats", table)
+    return with_stats.withColumn(features, F.zip_with(features, "__stats", scaled)).drop("__stats")
 
 
 def per_worker_dataset(workers: DataFrame, choices: DataFrame, default: str) -> DataFrame:
@@ -127,10 +127,8 @@ def write_sharded(df: DataFrame, path: str) -> None:
 
 def shard_files(spark: SparkSession, path: str) -> DataFrame:
     """Rows and files of every written shard."""
-    rows = spark.read.parquet(path)
-    return rows.groupBy(F.col("shard_id").cast("bigint").alias("shard_id")).agg(
-        F.count(F.lit(1)).alias("num_samples"), F.collect_set(F.input_file_name()).alias("file_paths")
-    )
+    rows = spark.read.parquet(path).select(F.col("shard_id").cast("bigint").alias("shard_id"), F.input_file_name().alias("file"))
+    return rows.groupBy("shard_id").agg(F.count(F.lit(1)).alias("num_samples"), F.collect_set("file").alias("file_paths"))
 
 
 def read_shard(spark: SparkSession, path: str, assignment: DataFrame, worker_id: str, epoch: int) -> DataFrame:

@@ -1,4 +1,14 @@
 """All registered queries."""
 
-from shardloom.plans import delivery, placement, workers  # noqa: F401
+from shardloom.plans import (  # noqa: F401
+    barriers,
+    checkpoints,
+    delivery,
+    placement,
+    requests,
+    streams,
+    tasks,
+    training,
+    workers,
+)
 from shardloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -257,10 +257,10 @@ def heartbeat_gaps(spark, sf):
         "heartbeats_v",
         extra="pace AS (SELECT current_epoch, worker_id, count(*) AS heartbeats, CASE WHEN count(*) > 1 THEN "
         "((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000) / (count(*) - 1) END AS pace_s FROM heartbeats_v GROUP BY ALL)",
-        query="SELECT p.current_epoch, p.worker_id, p.heartbeats, round(p.pace_s, 6) AS pace_s, round(m.median_s, 6) AS median_s FROM pace p "
+        query="SELECT p.current_epoch, p.worker_id, p.heartbeats, p.pace_s, round(m.median_s, 9) AS median_s FROM pace p "
         "JOIN (SELECT current_epoch, median(pace_s) AS median_s FROM pace GROUP BY 1) m ON p.current_epoch = m.current_epoch WHERE p.pace_s > 1.25 * m.median_s",
     ),
 )
 def stragglers(spark, sf):
     slow = wk.stragglers(views.heartbeats(spark, sf), factor=1.25)
-    return slow.withColumns({c: F.round(c, 6) for c in ("pace_s", "median_s")})
+    return slow.withColumn("median_s", F.round("median_s", 9))

@@ -35,4 +35,4 @@ def small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows))
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

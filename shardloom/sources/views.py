@@ -154,7 +154,10 @@ def arrival_columns(events: DataFrame) -> DataFrame:
 
 
 def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    return checkpoint_columns(table(spark, sf_dir, "orders"))
+
+
+def checkpoint_columns(orders: DataFrame) -> DataFrame:
     return orders.select(
         F.concat(F.lit("ckpt-"), F.col("o_orderkey").cast("string")).alias("checkpoint_id"),
         (F.col("o_orderkey") % 500).alias("step"),

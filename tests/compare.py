@@ -22,7 +22,7 @@ def plain(value):
     if isinstance(value, decimal.Decimal):
         return float(value)
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else float(f"{value:.12g}")
+        return "nan" if math.isnan(value) else value + 0.0
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None).isoformat()
     if isinstance(value, (bytes, bytearray)):
