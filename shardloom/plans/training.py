@@ -114,7 +114,7 @@ def chunk_payload(spark, sf):
     with_views(
         extra=CHUNK_SQL,
         query="SELECT doc_id, CAST(off AS BIGINT) AS \"offset\", md5(list_aggregate(list_transform(range(bytes), lambda i: printf('%02X', xor("
-        "CAST('0x' || substr(h, (off + i) * 2 + 1, 2) AS BIGINT), ascii('" + KEY.decode() + f"'[(off + i) % {len(KEY)} + 1])::BIGINT))), 'string_agg', '')) AS chunk_md5 FROM cut",
+        "CAST('0x' || digits[i * 2 + 1] || digits[i * 2 + 2] AS BIGINT), ascii('" + KEY.decode() + f"'[(off + i) % {len(KEY)} + 1])::BIGINT))), 'string_agg', '')) AS chunk_md5 FROM (SELECT *, string_split(substr(h, off * 2 + 1, bytes * 2), '') AS digits FROM cut)",
     ),
 )
 def map_chunks(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,35 +28,49 @@ def stream_request_windows(requests: DataFrame, width: str = "1 minute", slide:
 
 
 class Bucket(StatefulProcessor):
-    """Token bucket of one client; its state expires after the idle limit."""
+    """Token bucket of one client; dropped once idle long enough to be full again."""
 
     def __init__(self, rate: float, burst: int, idle_s: int):
-        self.rate, self.burst, self.idle_s = rate, burst, idle_s
+        self.rate, self.burst, self.idle_ms = rate, burst, idle_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bucket = handle.getValueState("bucket", "tokens bigint, mark bigint", ttlDurationMs=self.idle_s * 1000)
+        self.handle = handle
+        self.bucket = handle.getValueState("bucket", "tokens bigint, mark bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # The trigger limit of the source bounds the rows of one batch.
         batch = pd.concat(rows).sort_values(["at_us", "event_id"])
         state = tuple(self.bucket.get()) if self.bucket.exists() else None
-        state, allowed, left = spend_tokens(state, batch["at_us"].tolist(), self.rate, self.burst)
+        micros = batch["at_us"].tolist()
+        state, allowed, left = spend_tokens(state, micros, self.rate, self.burst)
         self.bucket.update(state)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(micros[-1] // 1000 + self.idle_ms + 1)
         yield pd.DataFrame(
             {"client": key[0], "event_id": batch["event_id"].to_numpy(), "allowed": allowed, "tokens_left": left}
         )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.bucket.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
 
 def stream_rate_limit(requests: DataFrame, rate: float, burst: int, idle_s: int = STALE_CLIENT_S) -> DataFrame:
-    """Decide each request of (client, ts, event_id) as it arrives (append mode)."""
+    """Decide each request of (client, ts, event_id) as it arrives (append mode).
+
+    ``ts`` needs a watermark. A bucket goes away after ``idle_s`` without
+    requests, but not before it would be full again, so no decision changes.
+    """
     prepare(requests.sparkSession)
-    timed = requests.select("client", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
+    idle_s = max(idle_s, math.ceil((burst + 1) / rate))
+    timed = requests.select("client", "event_id", F.unix_micros("ts").alias("at_us"), "ts")
     return timed.groupBy("client").transformWithStateInPandas(
         statefulProcessor=Bucket(rate, burst, idle_s),
         outputStructType=DECISIONS,
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="EventTime",
     )
