@@ -12,6 +12,7 @@ from shardloom.operators.ordered import ordered
 from shardloom.session import small
 
 MAX_PLAN_ROWS = 1_000_000
+MAX_PRUNED = 10_000
 
 
 def index_samples(df: DataFrame, order_by: Sequence[str], out: str = "sample_idx", rows_per_slice: int | None = None) -> DataFrame:
@@ -132,7 +133,15 @@ def shard_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_shard(spark: SparkSession, path: str, assignment: DataFrame, worker_id: str, epoch: int) -> DataFrame:
-    """Only the files of one worker's shards in one epoch (partition pruning)."""
+    """Only the files of one worker's shards in one epoch.
+
+    Up to ``MAX_PRUNED`` shard ids become a filter on the partition folders; a
+    longer list leaves the pruning to the join with the filtered plan.
+    """
     own = assignment.filter((F.col("worker_id") == worker_id) & (F.col("epoch") == epoch))
     own = small(own.select("shard_id", "worker_id", "epoch", "order_index"), MAX_PLAN_ROWS)
-    return spark.read.parquet(path).join(own, "shard_id")
+    rows = spark.read.parquet(path)
+    ids = [r.shard_id for r in own.select("shard_id").limit(MAX_PRUNED + 1).collect()]
+    if len(ids) <= MAX_PRUNED:
+        rows = rows.filter(F.col("shard_id").isin(ids))
+    return rows.join(own, "shard_id")

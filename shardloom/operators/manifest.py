@@ -5,41 +5,42 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shardloom.sources.tables import DatasetSpec, load
 
 
 def dataset_manifest(spark: SparkSession, specs: Sequence[DatasetSpec]) -> DataFrame:
-    """One row per registered dataset with its row count and number of shards."""
-    counted = []
-    for at, spec in enumerate(specs):
-        rows = load(spark, spec.format, spec.path).agg(F.count(F.lit(1)).alias("total_samples"))
-        counted.append(
-            rows.select(
-                F.lit(spec.dataset_id).alias("dataset_id"),
-                F.lit(spec.path).alias("path"),
-                F.lit(spec.format).alias("format"),
-                "total_samples",
-                F.lit(spec.shard_size).cast("bigint").alias("shard_size"),
-                F.lit(spec.shuffle).alias("shuffle"),
-                F.lit(spec.seed).cast("bigint").alias("seed"),
-                F.lit(at).cast("bigint").alias("registration"),
-            )
+    """One row per registered dataset with its row count and number of shards.
+
+    A repeated id replaces the earlier registration.
+    """
+    latest = {spec.dataset_id: spec for spec in specs}
+    counted = [
+        row_source(spark, spec)
+        .agg(F.count(F.lit(1)).alias("total_samples"))
+        .select(
+            F.lit(spec.dataset_id).alias("dataset_id"),
+            F.lit(spec.path).alias("path"),
+            F.lit(spec.format).alias("format"),
+            "total_samples",
+            F.lit(spec.shard_size).cast("bigint").alias("shard_size"),
+            F.lit(spec.shuffle).alias("shuffle"),
+            F.lit(spec.seed).cast("bigint").alias("seed"),
         )
-    return latest_registration(reduce(DataFrame.unionByName, counted))
+        for spec in latest.values()
+    ]
+    shards = F.ceil(F.col("total_samples") / F.col("shard_size")).cast("bigint")
+    return reduce(DataFrame.unionByName, counted).withColumn("total_shards", shards)
 
 
-def latest_registration(registrations: DataFrame) -> DataFrame:
-    """The last registration of each id counts; adds the shard count."""
-    newest = Window.partitionBy("dataset_id").orderBy(F.desc("registration"))
-    return (
-        registrations.withColumn("rank", F.row_number().over(newest))
-        .filter("rank = 1")
-        .drop("rank", "registration")
-        .withColumn("total_shards", F.ceil(F.col("total_samples") / F.col("shard_size")).cast("bigint"))
-    )
+def row_source(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
+    """The rows of a dataset for counting; parquet needs no column and no schema job."""
+    if spec.format == "parquet":
+        return load(spark, spec.format, spec.path, StructType([]))
+    return load(spark, spec.format, spec.path, spec.schema)
 
 
 def dataset_listing(manifest: DataFrame, dataset_id: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SLICE = 250_000
+ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 16_384
 SAMPLES_PER_SLICE = 12
 JSON_TIMES = {
@@ -62,9 +62,18 @@ def slice_of(df: DataFrame, order: Sequence[str], rows_per_slice: int | None = N
     inner = constant(
         "[" + ",".join("[" + ",".join(b) + "]" for b in blocks) + "]", f"array<array<{key_type}>>"
     )
-    block = F.size(F.filter(tops, lambda cut: cut <= key))
-    within = F.size(F.filter(F.get(inner, block), lambda cut: cut <= key))
-    return block * F.lit(width) + F.greatest(within, F.lit(0))
+    def place(value: Column, at: Column) -> Column:
+        within = F.size(F.filter(F.get(inner, at), lambda cut: cut <= value))
+        return at * F.lit(width) + F.greatest(within, F.lit(0))
+
+    # One-element arrays bind the key and its block, so each is built once a row.
+    found = F.transform(
+        F.array(key),
+        lambda value: F.get(
+            F.transform(F.array(F.size(F.filter(tops, lambda cut: cut <= value))), lambda at: place(value, at)), 0
+        ),
+    )
+    return F.get(found, 0)
 
 
 def ordered(

@@ -28,6 +28,7 @@ class DatasetSpec:
     format: str = "parquet"
     shuffle: bool = False
     seed: int = 42
+    schema: StructType | str | None = None
 
 
 def load(spark: SparkSession, fmt: str, path: str, schema: StructType | str | None = None, **options) -> DataFrame:

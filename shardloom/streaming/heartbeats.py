@@ -48,6 +48,9 @@ class Silence(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "micros bigint")
 
+    def _deadline(self, last: int) -> int:
+        return last // 1000 + self.timeout_ms + 1
+
     def _report(self, key, found: list[int]) -> Iterator[pd.DataFrame]:
         if found:
             yield pd.DataFrame({"worker_id": key[0], "last_seen": pd.to_datetime(found, unit="us")})
@@ -61,16 +64,16 @@ class Silence(StatefulProcessor):
             if last is not None and first - last > self.timeout_ms * 1000:
                 found.append(last)
             last = end if last is None else max(last, end)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last // 1000 + self.timeout_ms + 1)
+        self.handle.registerTimer(self._deadline(last))
         self.last.update((last,))
         yield from self._report(key, found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0]
-        self.last.clear()
-        yield from self._report(key, [last])
+        # Timers of earlier batches still fire; only the newest one counts.
+        last = self.last.get()[0] if self.last.exists() else None
+        if last is not None and expiredTimerInfo.getExpiryTimeInMs() == self._deadline(last):
+            self.last.clear()
+            yield from self._report(key, [last])
 
     def close(self) -> None:
         pass

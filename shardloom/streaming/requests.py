@@ -35,24 +35,28 @@ class Bucket(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.bucket = handle.getValueState("bucket", "tokens bigint, mark bigint")
+        self.bucket = handle.getValueState("bucket", "tokens bigint, mark bigint, last bigint")
+
+    def _deadline(self, last: int) -> int:
+        return last // 1000 + self.idle_ms + 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # The trigger limit of the source bounds the rows of one batch.
         batch = pd.concat(rows).sort_values(["at_us", "event_id"])
-        state = tuple(self.bucket.get()) if self.bucket.exists() else None
+        state = tuple(self.bucket.get())[:2] if self.bucket.exists() else None
         micros = batch["at_us"].tolist()
         state, allowed, left = spend_tokens(state, micros, self.rate, self.burst)
-        self.bucket.update(state)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(micros[-1] // 1000 + self.idle_ms + 1)
+        self.bucket.update((*state, micros[-1]))
+        self.handle.registerTimer(self._deadline(micros[-1]))
         yield pd.DataFrame(
             {"client": key[0], "event_id": batch["event_id"].to_numpy(), "allowed": allowed, "tokens_left": left}
         )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.bucket.clear()
+        # Timers of earlier batches still fire; only the newest one counts.
+        last = self.bucket.get()[2] if self.bucket.exists() else None
+        if last is not None and expiredTimerInfo.getExpiryTimeInMs() == self._deadline(last):
+            self.bucket.clear()
         yield from ()
 
     def close(self) -> None:
