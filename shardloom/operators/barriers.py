@@ -39,7 +39,7 @@ def barrier_arrivals_dedup(arrivals: DataFrame, expected: int) -> DataFrame:
     """One generation in which only the first call of each worker counts."""
     first = arrivals.groupBy("barrier_id", "worker_id").agg(F.min(F.struct("ts", "event_id")).alias("first"))
     calls = first.select("barrier_id", "worker_id", "first.*")
-    placed = ordered(calls, ["barrier_id"], ["ts", "event_id"], position="place", total="calls")
+    placed = ordered(calls, ["barrier_id"], ["ts", "event_id"], position="place", total="calls", costly=True)
     return placed.select(
         "barrier_id",
         "worker_id",

@@ -185,7 +185,7 @@ def due_adaptive(
         return state, {"due": np.array(due, dtype=bool)}
 
     slim = steps.select("run", "step", F.col("loss").cast("double").alias("loss"))
-    return fold(slim, ["run"], ["step"], walk, "due boolean", rows_per_slice=rows_per_slice).filter("due").drop("due")
+    return fold(slim, ["run"], ["step"], walk, "due boolean", rows_per_slice=rows_per_slice, costly=True).filter("due").drop("due")
 
 
 def best_checkpoint(metrics: DataFrame, rows_per_slice: int | None = None) -> DataFrame:

@@ -18,14 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shardloom.operators.ordered import SLICE, slice_of
+from shardloom.operators.ordered import SLICE, sliceable
 
 GROUP = "__group"
 Step = Callable[[tuple | None, pd.DataFrame], tuple[tuple, dict]]
 
 
 def fold(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], step: Step, outputs: str, rows_per_slice: int | None = None
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    step: Step,
+    outputs: str,
+    rows_per_slice: int | None = None,
+    costly: bool = False,
 ) -> DataFrame:
     """Add the ``outputs`` columns that ``step`` computes along each group.
 
@@ -35,8 +41,8 @@ def fold(
     """
     by, order = list(by), list(order)
     names = df.columns
+    df, cut = sliceable(df, by + order, rows_per_slice, costly)
     grouped = df.withColumn(GROUP, F.to_json(F.struct(*by)))
-    cut = slice_of(df, by + order, rows_per_slice)
     added = StructType.fromDDL(outputs)
     schema = StructType(df.schema.fields + added.fields)
     if cut is None:

@@ -16,6 +16,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shardloom.session import settled
+
 ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 16_384
 SAMPLES_PER_SLICE = 12
@@ -32,17 +34,24 @@ def slice_size(df: DataFrame, rows_per_slice: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.shardloom.rowsPerSlice", str(ROWS_PER_SLICE)))
 
 
-def slice_of(df: DataFrame, order: Sequence[str], rows_per_slice: int | None = None) -> Column | None:
-    """Slice number of each row, growing along ``order``; None if one slice is enough.
+def sliceable(df: DataFrame, order: Sequence[str], rows_per_slice: int | None, costly: bool) -> tuple[DataFrame, Column | None]:
+    """The input, written down if it is large and costly, and its slice column."""
+    total = df.count()
+    if total <= slice_size(df, rows_per_slice):
+        return df, None
+    if costly:
+        df = settled(df, "ordered")
+    return df, slice_of(df, order, total, rows_per_slice)
+
+
+def slice_of(df: DataFrame, order: Sequence[str], total: int, rows_per_slice: int | None = None) -> Column | None:
+    """Slice number of each of ``total`` rows, growing along ``order``.
 
     The sample only places the cut points, every row keeps its slice. The cut
     points are constants of the plan, so a recomputed task cuts the same way.
+    None if the sample gives no cut point.
     """
-    per_slice = slice_size(df, rows_per_slice)
-    total = df.count()
-    slices = min(MAX_SLICES, math.ceil(total / per_slice))
-    if slices <= 1:
-        return None
+    slices = min(MAX_SLICES, math.ceil(total / slice_size(df, rows_per_slice)))
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
     fraction = min(1.0, SAMPLES_PER_SLICE * slices / total)
     sampled = df.select(key.alias("key")).sample(fraction=fraction, seed=17).orderBy("key")
@@ -88,19 +97,22 @@ def ordered(
     previous: Mapping[str, str] | None = None,
     slices: Column | None = None,
     rows_per_slice: int | None = None,
+    costly: bool = False,
 ) -> DataFrame:
     """Add running columns per group; ``order`` (ascending) must be unique in it.
 
     ``position`` is the place from 0, ``total`` the rows of the group, ``sums``
     running sums with the row itself, ``max_before`` the largest value of earlier
     rows and ``previous`` the value of the row before, each as {new: source}.
-    ``slices`` may name a ready slice column that grows along ``order``.
+    ``slices`` may name a ready slice column that grows along ``order``. A
+    ``costly`` input comes out of shuffles; it is written down before the passes
+    that cutting a large table takes.
     """
     by, order = list(by), list(order)
     sums, max_before, previous = dict(sums or {}), dict(max_before or {}), dict(previous or {})
     ready = slices is not None
     if not ready:
-        slices = slice_of(df, by + order, rows_per_slice)
+        df, slices = sliceable(df, by + order, rows_per_slice, costly)
     if slices is None:
         return _windows(df, by, order, position, total, sums, max_before, previous)
 

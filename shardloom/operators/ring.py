@@ -53,7 +53,7 @@ def ring_arcs(ring: DataFrame, bits: int) -> DataFrame:
 
 
 def ring_lookup(
-    keys: DataFrame, ring: DataFrame, key: str | Column, *, hash: str = "fnv", bits: int = 12, broadcast_arcs: bool = True
+    keys: DataFrame, ring: DataFrame, key: str | Column, *, hash: str = "fnv", bits: int = 14, broadcast_arcs: bool = True
 ) -> DataFrame:
     """Add ``worker_id``, the owner of each key; null when the ring is empty.
 

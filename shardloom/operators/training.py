@@ -40,7 +40,7 @@ def windowed_loss(steps: DataFrame, block: int = 100, rows_per_slice: int | None
         F.count(F.lit(1)).alias("batches"), F.sum("loss").alias("loss_sum"), F.sum("correct").alias("correct")
     )
     running = ordered(
-        blocks, ["run"], ["block"], sums={"seen": "batches", "right": "correct"}, rows_per_slice=rows_per_slice
+        blocks, ["run"], ["block"], sums={"seen": "batches", "right": "correct"}, rows_per_slice=rows_per_slice, costly=True
     )
     return running.filter(F.col("batches") == block).select(
         "run",
@@ -79,7 +79,12 @@ def final_metrics_rollup(metrics: DataFrame) -> DataFrame:
 def training_rate(steps: DataFrame, batch_size: int, total_steps: int, rows_per_slice: int | None = None) -> DataFrame:
     """Steps and samples per second between reports, and seconds to the end."""
     linked = ordered(
-        steps, ["run"], ["ts", "event_id"], previous={"ts_before": "ts", "step_before": "step"}, rows_per_slice=rows_per_slice
+        steps,
+        ["run"],
+        ["ts", "event_id"],
+        previous={"ts_before": "ts", "step_before": "step"},
+        rows_per_slice=rows_per_slice,
+        costly=True,
     )
     seconds = seconds_between(F.col("ts_before"), F.col("ts"))
     rate = F.try_divide((F.col("step") - F.col("step_before")).cast("double"), seconds)

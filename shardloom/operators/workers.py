@@ -47,9 +47,11 @@ def register_workers(log: DataFrame, max_workers: int = MAX_WORKERS) -> DataFram
     a repeat is refused as a duplicate, and ids beyond the cap are refused.
     """
     first = log.groupBy("worker_id").agg(F.min(F.struct("ts", "event_id")).alias("first"))
-    placed = ordered(first.select("worker_id", "first.*"), [], ["ts", "event_id"], position="place")
-    accepted = small(placed.filter(F.col("place") < max_workers).select("worker_id", "place", F.col("event_id").alias("first_id")))
-    joined = log.join(accepted, "worker_id", "left")
+    # The cap turns the ranking into a bounded top list, whatever the log holds.
+    top = small(first.orderBy("first").limit(max_workers).select("worker_id", "first.*"), max_workers)
+    place = F.row_number().over(Window.orderBy("ts", "event_id")) - 1
+    accepted = top.select("worker_id", place.cast("bigint").alias("place"), F.col("event_id").alias("first_id"))
+    joined = log.join(F.broadcast(accepted), "worker_id", "left")
     reason = (
         F.when(F.col("place").isNull(), "max_workers_reached")
         .when(F.col("event_id") != F.col("first_id"), "already_registered")
@@ -66,7 +68,7 @@ def register_workers(log: DataFrame, max_workers: int = MAX_WORKERS) -> DataFram
 
 def world_size_at_registration(changes: DataFrame) -> DataFrame:
     """Membership after each change; ``changes`` has (ts, event_id, worker_id, delta)."""
-    return ordered(changes, [], ["ts", "event_id"], sums={"world_size": "delta"})
+    return ordered(changes, [], ["ts", "event_id"], sums={"world_size": "delta"}, costly=True)
 
 
 def compact_ranks(workers: DataFrame, removed: DataFrame) -> DataFrame:

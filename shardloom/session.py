@@ -36,3 +36,14 @@ def small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
     if rows.num_rows > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Write a computed table to the shared folder and go on from the files.
+
+    For inputs that several passes read: later passes and lost executors then
+    re-read files instead of repeating the shuffles behind the table.
+    """
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,6 +21,7 @@ def stream_barriers(arrivals: DataFrame, expected: int, folder: str, rows_per_sl
     spark = arrivals.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
         before = table_version(spark, folder, "counts", number - 1)
         placed = ordered(batch, ["barrier_id"], ["ts", "event_id"], position="place", rows_per_slice=rows_per_slice)
         counts = batch.groupBy("barrier_id").agg(F.count(F.lit(1)).alias("calls"))
@@ -39,6 +40,7 @@ def stream_barriers(arrivals: DataFrame, expected: int, folder: str, rows_per_sl
         released = numbered.withColumn("releases", F.col("arrival_order") == expected)
         released.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
         counts.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+        batch.unpersist()
 
     run_batches(arrivals, "append", folder, write)
     return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*").drop("batch")

@@ -68,9 +68,12 @@ def test_ring(spark):
     after = ring.ring_lookup(keys, ring.hash_ring(three.filter("rank <> 1")), "k")
     kept = before.join(after, "k").filter("old <> 'worker-1'")
     assert kept.count() > 0 and kept.filter("old <> worker_id").count() == 0
-    shards = manifest.shard_ranges(dataset(spark, 1000, 1, name="dataset"))
-    counts = [r.shards for r in ring.ring_counts(ring.ring_assignment(shards, ring.hash_ring(three, hash="md5"), hash="md5"), three).collect()]
-    assert sum(counts) == 1000 and all(abs(n - 333) <= 166 for n in counts)
+    named = spark.createDataFrame([("worker-1", 1), ("worker-2", 2), ("worker-3", 3)], "worker_id string, rank bigint")
+    shards = manifest.shard_ranges(dataset(spark, 1000, 1, name="dataset-1"))
+    for kind in ("fnv", "md5"):
+        placed = ring.ring_assignment(shards, ring.hash_ring(named, hash=kind), hash=kind)
+        counts = [r.shards for r in ring.ring_counts(placed, named).collect()]
+        assert sum(counts) == 1000 and all(abs(n - 333) <= 166 for n in counts), (kind, counts)
     empty = ring.ring_lookup(keys, ring.hash_ring(three.limit(0)), "k")
     assert empty.filter("worker_id is null").count() == 100
     twice = ring.ring_members(ring.hash_ring(three.unionByName(three)))

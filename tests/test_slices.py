@@ -44,7 +44,7 @@ def test_ordered_in_slices(hot, by, per_slice):
 
 
 def test_slices_grow_and_stay_even(hot):
-    cut = slice_of(hot, ["g", "t", "i"], 100)
+    cut = slice_of(hot, ["g", "t", "i"], hot.count(), 100)
     sizes = hot.groupBy(cut.alias("s")).agg(F.count("*").alias("n"), F.min(F.struct("g", "t", "i")).alias("low"))
     got = [tuple(r) for r in sizes.orderBy("s").select("n", "low").collect()]
     assert len(got) > 20 and max(n for n, _ in got) < 400
