@@ -26,7 +26,7 @@ def epoch_state(log: DataFrame, manifest: DataFrame) -> DataFrame:
         F.col("init.event_id").alias("init_id"),
         F.col("init.epoch").alias("init_epoch"),
     )
-    state = small(small(manifest.select("dataset_id")).join(inits, "dataset_id", "left"))
+    state = small(small(manifest).select("dataset_id").join(inits, "dataset_id", "left"))
     behind = F.struct("ts", "event_id") > F.struct("init_ts", "init_id")
     later = (
         log.filter("op = 'advance'")
@@ -47,7 +47,7 @@ def with_epochs(shards: DataFrame, epochs: int) -> DataFrame:
 
 def epoch_shard_order(shards: DataFrame, seeds: DataFrame, rows_per_slice: int | None = None) -> DataFrame:
     """Add ``order_index``, the place of each shard in its epoch's shuffle."""
-    keyed = shards.join(F.broadcast(small(seeds.select("dataset_id", "seed"))), "dataset_id")
+    keyed = shards.join(small(seeds).select("dataset_id", "seed"), "dataset_id")
     key = shuffle_key(F.col("seed"), F.col("dataset_id"), F.col("epoch"), F.col("shard_id"))
     keyed = keyed.withColumn("shuffle_key", key).drop("seed")
     placed = ordered(
@@ -58,7 +58,7 @@ def epoch_shard_order(shards: DataFrame, seeds: DataFrame, rows_per_slice: int |
 
 def round_robin_assignment(order: DataFrame, ranked: DataFrame) -> DataFrame:
     """Position modulo the number of workers picks the rank; no workers, no rows."""
-    ranked = small(ranked.select("worker_id", F.col("rank").cast("bigint").alias("rank")))
+    ranked = small(ranked).select("worker_id", F.col("rank").cast("bigint").alias("rank"))
     workers = ranked.agg(F.count(F.lit(1))).scalar()
     turn = order.withColumn("rank", F.try_mod(F.col("order_index"), workers))
     return turn.join(ranked, "rank").drop("rank")

@@ -139,7 +139,8 @@ def ordered(
     first = F.col("__first")
     for i, name in enumerate(previous):
         out = out.withColumn(name, F.when(first, F.col(f"__last.p{i}")).otherwise(F.col(name)))
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+    new = [name for name in (position, total) if name] + [*sums, *max_before, *previous]
+    return out.select(*[c for c in df.columns if c not in new], *new)
 
 
 def _windows(df, by, order, position, total, sums, max_before, previous):

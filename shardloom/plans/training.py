@@ -12,7 +12,7 @@ from shardloom.sources import views
 from shardloom.sources.tables import table
 
 STEPS_PER_EPOCH, BLOCK, CHUNKS = 20, 10, 7
-KEY = b"distributed-training-2024"  # fixed value: key of the chunk transform
+KEY = b"a repeating chunk key"  # any key works; the transform is its own inverse
 EPOCHS = (
     "epochs AS (SELECT run, step // 20 AS epoch, count(*) AS batches, CAST(sum(loss) AS DOUBLE) / count(*) AS mean_loss, "
     "CAST(sum(correct) AS BIGINT) * 100 / count(*) AS accuracy FROM steps_v GROUP BY 1, 2)"

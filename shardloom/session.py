@@ -32,10 +32,14 @@ def small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
     At most ``max_rows + 1`` rows reach the driver. A larger table comes back
     unchanged and without a hint, so joins with it shuffle.
     """
+    if getattr(df, "pinned_rows", max_rows + 1) <= max_rows:
+        return df
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    pinned = F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    pinned.pinned_rows = rows.num_rows  # a second call has nothing left to do
+    return pinned
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
