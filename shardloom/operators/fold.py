@@ -32,29 +32,32 @@ def fold(
     outputs: str,
     rows_per_slice: int | None = None,
     costly: bool = False,
+    start: str | None = None,
 ) -> DataFrame:
     """Add the ``outputs`` columns that ``step`` computes along each group.
 
     ``step(state, rows)`` gets consecutive rows of one group and the state before
     them (None at its start); it returns the state after them and one array per
-    output. States must be JSON values (numbers, strings, lists).
+    output. States must be JSON values (numbers, strings, lists). ``start`` may
+    name a column with the state a group starts from, as a JSON list or null; it
+    is not part of the result.
     """
     by, order = list(by), list(order)
-    names = df.columns
+    names = [c for c in df.columns if c != start]
     df, cut = sliceable(df, by + order, rows_per_slice, costly)
     grouped = df.withColumn(GROUP, F.to_json(F.struct(*by)))
     added = StructType.fromDDL(outputs)
-    schema = StructType(df.schema.fields + added.fields)
+    schema = StructType([df.schema[c] for c in names] + added.fields)
     if cut is None:
         laid = grouped.withColumn(SLICE, F.lit(0)).repartition(GROUP).sortWithinPartitions(GROUP, *order)
-        return laid.mapInPandas(_rows(step, names, added.names, {}), schema)
+        return laid.mapInPandas(_rows(step, names, added.names, {}, start), schema)
     laid = grouped.withColumn(SLICE, cut)
-    entries = _entry_states(laid, by, order, step)
+    entries = _entry_states(laid, by, order, step, start)
     sorted_slices = laid.repartition(SLICE).sortWithinPartitions(SLICE, *by, *order)
-    return sorted_slices.mapInPandas(_rows(step, names, added.names, entries), schema)
+    return sorted_slices.mapInPandas(_rows(step, names, added.names, entries, start), schema)
 
 
-def _entry_states(laid: DataFrame, by, order, step) -> dict[int, tuple[str, list]]:
+def _entry_states(laid: DataFrame, by, order, step, start) -> dict[int, tuple[str, list]]:
     """Rounds of slice folds until every slice starts from its neighbour's end.
 
     Only one row per slice reaches the driver.
@@ -65,7 +68,7 @@ def _entry_states(laid: DataFrame, by, order, step) -> dict[int, tuple[str, list
     while todo is None or todo:
         part = laid if todo is None else laid.filter(F.col(SLICE).isin(sorted(todo)))
         part = part.repartition(SLICE).sortWithinPartitions(SLICE, *by, *order)
-        exits = part.mapInPandas(_exits(step, entries), "slice int, first string, last string, state string")
+        exits = part.mapInPandas(_exits(step, entries, start), "slice int, first string, last string, state string")
         for row in exits.collect():
             ends[row.slice] = (row.first, row.last, json.loads(row.state))
         order_of_slices = sorted(ends)
@@ -78,7 +81,7 @@ def _entry_states(laid: DataFrame, by, order, step) -> dict[int, tuple[str, list
     return entries
 
 
-def _walk(batches: Iterator[pd.DataFrame], step: Step, entries):
+def _walk(batches: Iterator[pd.DataFrame], step: Step, entries, start):
     """Yield (slice, group, state, rows, outputs) for runs of one slice and group."""
     at, state, seen = None, None, set()
     for rows in batches:
@@ -92,25 +95,29 @@ def _walk(batches: Iterator[pd.DataFrame], step: Step, entries):
             if here != at:
                 entry = entries.get(here[0])
                 first = here[0] not in seen
-                state = tuple(entry[1]) if first and entry and entry[0] == here[1] else None
+                state = None
+                if first and entry and entry[0] == here[1]:
+                    state = tuple(entry[1])
+                elif start and run[start].iloc[0]:
+                    state = tuple(json.loads(run[start].iloc[0]))
                 at = here
                 seen.add(here[0])
             state, outputs = step(state, run)
             yield here[0], here[1], state, run, outputs
 
 
-def _rows(step, names, added, entries):
+def _rows(step, names, added, entries, start):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, _, _, rows, outputs in _walk(batches, step, entries):
+        for _, _, _, rows, outputs in _walk(batches, step, entries, start):
             yield rows[names].assign(**{name: outputs[name] for name in added})
 
     return run
 
 
-def _exits(step, entries):
+def _exits(step, entries, start):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ends: dict[int, list] = {}
-        for number, group, state, _, _ in _walk(batches, step, entries):
+        for number, group, state, _, _ in _walk(batches, step, entries, start):
             first = ends[number][0] if number in ends else group
             ends[number] = [first, group, json.dumps(list(state))]
         yield pd.DataFrame(

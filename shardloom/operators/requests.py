@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shardloom.operators.fold import fold
 from shardloom.operators.ordered import ordered
 from shardloom.operators.workers import seconds_between
+from shardloom.session import small
 
 # Kept latency samples, share of the percentile, idle limit of a
 # client, and per error class (retryable, fatal, delay hint in milliseconds).
@@ -108,29 +109,50 @@ def spend_tokens(state, micros: list[int], rate: float, burst: int):
     Only whole tokens are added, and the mark moves only when one was added.
     """
     tokens, mark = state if state is not None else (burst, micros[0])
-    allowed, left = [], []
+    allowed, left, marks = [], [], []
     for now in micros:
-        elapsed = now - mark
+        elapsed = max(now - mark, 0)
         added = int((elapsed // 1_000_000 + (elapsed % 1_000_000 * 1000) / 1e9) * rate)
         if added > 0:
             tokens, mark = min(tokens + added, burst), now
         allowed.append(tokens > 0)
         tokens -= tokens > 0
         left.append(tokens)
-    return (tokens, mark), allowed, left
+        marks.append(mark)
+    return (tokens, mark), allowed, left, marks
 
 
-def rate_limit(requests: DataFrame, rate: float, burst: int, rows_per_slice: int | None = None) -> DataFrame:
-    """Decide every request of (client, ts, event_id) by a token bucket per client."""
+def token_buckets(
+    requests: DataFrame, rate: float, burst: int, buckets: DataFrame | None = None, rows_per_slice: int | None = None
+) -> DataFrame:
+    """Every request with its decision and its client's bucket (tokens, mark) after it.
+
+    ``buckets`` (client, tokens_left, mark_us) continues from earlier requests.
+    """
 
     def step(state, rows: pd.DataFrame):
-        state, allowed, left = spend_tokens(state, rows["at_us"].tolist(), rate, burst)
-        return state, {"allowed": np.array(allowed, dtype=bool), "tokens_left": np.array(left, dtype=np.int64)}
+        state, allowed, left, marks = spend_tokens(state, rows["at_us"].tolist(), rate, burst)
+        arrays = (np.array(allowed, dtype=bool), np.array(left, dtype=np.int64), np.array(marks, dtype=np.int64))
+        return state, dict(zip(("allowed", "tokens_left", "mark_us"), arrays))
 
     timed = requests.select("client", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
-    decided = fold(
-        timed, ["client"], ["at_us", "event_id"], step, "allowed boolean, tokens_left bigint", rows_per_slice=rows_per_slice
+    if buckets is not None:
+        held = F.to_json(F.array("tokens_left", "mark_us"))
+        timed = timed.join(small(buckets.select("client", held.alias("bucket"))), "client", "left")
+    return fold(
+        timed,
+        ["client"],
+        ["at_us", "event_id"],
+        step,
+        "allowed boolean, tokens_left bigint, mark_us bigint",
+        rows_per_slice=rows_per_slice,
+        start="bucket" if buckets is not None else None,
     )
+
+
+def rate_limit(requests: DataFrame, rate: float, burst: int, rows_per_slice: int | None = None) -> DataFrame:
+    """Decide every request of (client, ts, event_id) by a token bucket per client."""
+    decided = token_buckets(requests, rate, burst, rows_per_slice=rows_per_slice)
     retry = F.when(~F.col("allowed"), F.lit(1.0 / rate))
     return decided.select("client", "event_id", "allowed", "tokens_left", retry.alias("retry_after_s"))
 

@@ -88,8 +88,8 @@ def stream_dedup(spark, sf):
 
 @query("stream_rate_limit", f"SELECT client, event_id, allowed, tokens_left FROM ({ORACLES['rate_limit']})")
 def stream_rate_limit(spark, sf):
-    calls = event_time(views.request_columns(stream(spark, sf, "events")), "ts", f"{DELAY_S} seconds")
-    return run_available_now(sr.stream_rate_limit(calls, RATE, BURST), "append", work_folder(spark, "limit")).drop("batch")
+    calls = views.request_columns(stream(spark, sf, "events"))
+    return sr.stream_rate_limit(calls, RATE, BURST, work_folder(spark, "limit"))
 
 
 def request_windows(spark, sf, width, slide=None):

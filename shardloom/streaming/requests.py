@@ -3,17 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from shardloom.operators.requests import STALE_CLIENT_S, spend_tokens
-from shardloom.streaming.run import prepare
-
-DECISIONS = "client bigint, event_id bigint, allowed boolean, tokens_left bigint"
+from shardloom.operators.requests import STALE_CLIENT_S, token_buckets
+from shardloom.streaming.run import run_batches, table_version
 
 
 def stream_request_windows(requests: DataFrame, width: str = "1 minute", slide: str | None = None) -> DataFrame:
@@ -27,54 +22,32 @@ def stream_request_windows(requests: DataFrame, width: str = "1 minute", slide:
     return per.select(F.col("w.start").alias("window_start"), "method", "requests", "errors", "max_latency_us")
 
 
-class Bucket(StatefulProcessor):
-    """Token bucket of one client; dropped once idle long enough to be full again."""
-
-    def __init__(self, rate: float, burst: int, idle_s: int):
-        self.rate, self.burst, self.idle_ms = rate, burst, idle_s * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.bucket = handle.getValueState("bucket", "tokens bigint, mark bigint, last bigint")
-
-    def _deadline(self, last: int) -> int:
-        return last // 1000 + self.idle_ms + 1
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # The trigger limit of the source bounds the rows of one batch.
-        batch = pd.concat(rows).sort_values(["at_us", "event_id"])
-        state = tuple(self.bucket.get())[:2] if self.bucket.exists() else None
-        micros = batch["at_us"].tolist()
-        state, allowed, left = spend_tokens(state, micros, self.rate, self.burst)
-        self.bucket.update((*state, micros[-1]))
-        self.handle.registerTimer(self._deadline(micros[-1]))
-        yield pd.DataFrame(
-            {"client": key[0], "event_id": batch["event_id"].to_numpy(), "allowed": allowed, "tokens_left": left}
-        )
+def stream_rate_limit(
+    requests: DataFrame, rate: float, burst: int, folder: str, idle_s: int = STALE_CLIENT_S, rows_per_slice: int | None = None
+) -> DataFrame:
+    """Decide each request of (client, ts, event_id) as batches come in.
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # Timers of earlier batches still fire; only the newest one counts.
-        last = self.bucket.get()[2] if self.bucket.exists() else None
-        if last is not None and expiredTimerInfo.getExpiryTimeInMs() == self._deadline(last):
-            self.bucket.clear()
-        yield from ()
-
-    def close(self) -> None:
-        pass
-
-
-def stream_rate_limit(requests: DataFrame, rate: float, burst: int, idle_s: int = STALE_CLIENT_S) -> DataFrame:
-    """Decide each request of (client, ts, event_id) as it arrives (append mode).
-
-    ``ts`` needs a watermark. A bucket goes away after ``idle_s`` without
-    requests, but not before it would be full again, so no decision changes.
+    A batch goes through the sliced fold, so a client with most of the requests
+    still runs in many tasks. Its buckets are a table per version, written with
+    the batch. A bucket goes away after ``idle_s`` without requests, but not
+    before it would be full again, so no decision changes.
     """
-    prepare(requests.sparkSession)
-    idle_s = max(idle_s, math.ceil((burst + 1) / rate))
-    timed = requests.select("client", "event_id", F.unix_micros("ts").alias("at_us"), "ts")
-    return timed.groupBy("client").transformWithStateInPandas(
-        statefulProcessor=Bucket(rate, burst, idle_s),
-        outputStructType=DECISIONS,
-        outputMode="Append",
-        timeMode="EventTime",
-    )
+    spark = requests.sparkSession
+    idle_us = max(idle_s, math.ceil((burst + 1) / rate)) * 1_000_000
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = table_version(spark, folder, "buckets", number - 1)
+        decided = token_buckets(batch, rate, burst, before, rows_per_slice)
+        decided.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        written = table_version(spark, folder, "out", number)
+        last = F.max_by(F.struct("tokens_left", "mark_us", "at_us"), F.struct("at_us", "event_id"))
+        buckets = written.groupBy("client").agg(last.alias("b")).select("client", "b.*")
+        if before is not None:
+            buckets = buckets.unionByName(before.join(buckets.select("client"), "client", "left_anti"))
+        newest = written.agg(F.max("at_us")).scalar()
+        live = buckets.filter(F.col("at_us") >= newest - F.lit(idle_us))
+        live.write.mode("overwrite").parquet(f"{folder}/buckets/batch={number}")
+
+    run_batches(requests, "append", folder, write)
+    decided = spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*")
+    return decided.select("client", "event_id", "allowed", "tokens_left")
