@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,23 +18,38 @@ def dataset_manifest(spark: SparkSession, specs: Sequence[DatasetSpec]) -> DataF
 
     A repeated id replaces the earlier registration.
     """
-    latest = {spec.dataset_id: spec for spec in specs}
-    counted = [
-        row_source(spark, spec)
-        .agg(F.count(F.lit(1)).alias("total_samples"))
-        .select(
-            F.lit(spec.dataset_id).alias("dataset_id"),
-            F.lit(spec.path).alias("path"),
-            F.lit(spec.format).alias("format"),
-            "total_samples",
-            F.lit(spec.shard_size).cast("bigint").alias("shard_size"),
-            F.lit(spec.shuffle).alias("shuffle"),
-            F.lit(spec.seed).cast("bigint").alias("seed"),
+    latest = list({spec.dataset_id: spec for spec in specs}.values())
+    declared = spark.createDataFrame(
+        pa.Table.from_pylist(
+            [
+                {
+                    "n": n,
+                    "dataset_id": spec.dataset_id,
+                    "path": spec.path,
+                    "format": spec.format,
+                    "shard_size": spec.shard_size,
+                    "shuffle": spec.shuffle,
+                    "seed": spec.seed,
+                }
+                for n, spec in enumerate(latest)
+            ]
         )
-        for spec in latest.values()
-    ]
-    shards = F.ceil(F.col("total_samples") / F.col("shard_size")).cast("bigint")
-    return reduce(DataFrame.unionByName, counted).withColumn("total_shards", shards)
+    )
+    # One job counts all datasets: rows shrink to one count per task and dataset.
+    rows = [row_source(spark, spec).select(F.lit(n).cast("bigint").alias("n")) for n, spec in enumerate(latest)]
+    counts = reduce(DataFrame.union, rows).groupBy("n").agg(F.count(F.lit(1)).alias("counted"))
+    total = F.coalesce("counted", F.lit(0).cast("bigint"))
+    # One row per declared dataset, so the counts are as small as the declaration.
+    return declared.join(F.broadcast(counts), "n", "left").select(
+        "dataset_id",
+        "path",
+        "format",
+        total.alias("total_samples"),
+        "shard_size",
+        "shuffle",
+        "seed",
+        F.ceil(total / F.col("shard_size")).cast("bigint").alias("total_shards"),
+    )
 
 
 def row_source(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
