@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shardloom.operators import delivery as dl
-from shardloom.operators.manifest import shard_ranges as ranges
 from shardloom.plans.placement import plan_of, ranked
 from shardloom.plans.registry import query
 from shardloom.plans.sql_views import with_views
