@@ -58,6 +58,23 @@ def plan_times(spark) -> dict[str, float]:
     return out
 
 
+def container_times(spark) -> dict[str, float]:
+    """Write 32 containers of 10 MB from a table, to the end of the last file."""
+    from shardloom.session import settled, work_folder
+    from shardloom.sources import containers
+
+    text = F.repeat(F.lit("0123456789abcdef"), F.lit(10 * 65536))
+    rows = spark.range(32).repartition(8).select(
+        F.concat(F.lit("c"), F.col("id").cast("string")).alias("name"), "id", F.encode(text, "UTF-8").alias("data")
+    )
+    rows = settled(rows, "bench")
+    notes = F.create_map(F.lit("k"), F.lit("v"))
+    made = rows.select("name", containers.container(F.col("id"), F.lit(0), F.lit(0), notes, F.col("data")).alias("content"))
+    began = time.perf_counter()
+    containers.encode_checkpoint(made, work_folder(spark, "bench"))
+    return {"write_containers_320mb": time.perf_counter() - began}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -86,7 +103,7 @@ def main() -> None:
         df.write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - began, 3)
     if not sys.argv[1:]:
-        seconds.update({k: round(v, 3) for k, v in plan_times(spark).items()})
+        seconds.update({k: round(v, 3) for k, v in {**plan_times(spark), **container_times(spark)}.items()})
     print(
         json.dumps(
             {
