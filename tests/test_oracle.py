@@ -2,11 +2,11 @@
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from shardloom.plans import catalog
 from tests.compare import check, oracle
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = queries(), oracle_sql()
+QUERIES, SQL = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
