@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from shardloom.llm import chat, mixing
+from shardloom.llm import chat, mixing, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op4_mixing": mixing.op4_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
 }
 ORACLES = {"op1_chat": chat.OP1_SQL}
