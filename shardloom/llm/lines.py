@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm import bits
-from shardloom.llm.common import read, settle
+from shardloom.llm.common import read, row_key, settle
 
 EDITS = 2
 MIN_BYTES = 24
@@ -31,11 +31,6 @@ PAIRS_AT_ONCE = 1_000_000
 ROW = "__row"
 
 
-def row_key(key: str = "doc_id", text: str = "text") -> Column:
-    """Tells rows apart that share a doc_id; rows equal in both are one document."""
-    return F.xxhash64(F.col(key), F.col(text))
-
-
 def cut_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, number, start, length) of all lines of some texts; a text has at least one line."""
     breaks = np.flatnonzero(data == 10)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from shardloom.llm import chat, lines, mixing, pieces, toxicity
+from shardloom.llm import chat, jaccard, lines, mixing, pieces, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op4_mixing": mixing.op4_mixing,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_pieces": pieces.op7_pieces,
     "op8_lines": lines.op8_lines,
