@@ -201,3 +201,21 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
         (F.col("__copies") * F.col("__size")).cast("long").alias("taken"), "source", F.col("__copies").cast("long").alias("copies"),
     )
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as documents: a row for every copy taken, none for a document left out.
+
+    Rows equal in doc_id, source and text share their copies.
+    """
+    row = F.xxhash64("doc_id", "source", "text")
+    keyed = docs.withColumn("__row", row)
+    sized = settle(keyed.select("doc_id", "__row", "source", word_count(F.col("text")).alias("words")), "words")
+    mixed = mix(sized, "__row", "source", F.col("words"))
+    taken = mixed.groupBy("doc_id", "__row").agg(F.sum("__copies").alias("__take"), F.count("*").alias("__times")).filter("__take > 0")
+    taken = settle(taken.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__r"), "__take", "__times"), "taken")
+    joined = keyed.join(taken, (F.col("__row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    once = joined.filter("__times = 1")
+    again = joined.filter("__times > 1").dropDuplicates(["doc_id", "__row"])
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__take").cast("long"))).alias("__copy")
+    return once.unionByName(again).select(*docs.columns, each).select(*docs.columns)

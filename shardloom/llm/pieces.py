@@ -339,3 +339,8 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = with_pieces(docs, check=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "round_trip", "ids")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their ids and the number of them."""
+    return with_pieces(docs).withColumn("n_tokens", F.size("ids").cast("long"))
