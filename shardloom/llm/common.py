@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def forest(a: np.ndarray, b: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """For edges between places of ``nodes``: per node the smallest node it hangs together with."""
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            return nodes[label]
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b: bigint); smallest node of each component.
 

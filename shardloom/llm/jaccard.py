@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm import bits
-from shardloom.llm.common import components, read, row_key, settle
+from shardloom.llm.common import components, forest, read, row_key, settle
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -153,19 +153,6 @@ def _split(run: int, depth: int):
     return go
 
 
-def _forest(a: np.ndarray, b: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """For edges between places of ``nodes``: per node the smallest node it hangs together with."""
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            return nodes[label]
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Small buckets, sorted by path: edges (a, b) of a forest over the pairs whose sketches agree enough."""
 
@@ -189,7 +176,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.sort(pairs, 1)
         names, at = np.unique(pairs, return_inverse=True)
         at = at.reshape(-1, 2)
-        root = _forest(at[:, 0], at[:, 1], names)
+        root = forest(at[:, 0], at[:, 1], names)
         return pa.RecordBatch.from_arrays([pa.array(names), pa.array(root)], ["a", "b"])
 
     rest: list | None = None
@@ -286,7 +273,7 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         np.add.at(links, left[i], copies[right[j]])
         if (side != 2).any():
             np.add.at(links, right[j], copies[left[i]])
-        root = _forest(left[i], right[j], node) if len(i) else node
+        root = forest(left[i], right[j], node) if len(i) else node
         # Places follow the order of node, so the smallest place is the smallest node.
         told = pd.DataFrame({"node": node, "links": links, "root": root})
         return told[told["links"] > 0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shardloom.llm import chat, jaccard, lines, mixing, pieces, toxicity
+from shardloom.llm import chat, jaccard, lines, mixing, pieces, subspace, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_pieces": pieces.op7_pieces,
     "op8_lines": lines.op8_lines,
+    "op9_subspace": subspace.op9_subspace,
 }
 ORACLES = {"op1_chat": chat.OP1_SQL}
