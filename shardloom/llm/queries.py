@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from shardloom.llm import chat, jaccard, lines, mixing, pieces, subspace, toxicity
+from shardloom.llm import ann, chat, jaccard, lines, mixing, pieces, subspace, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
+    "op3_ann": ann.op3_ann,
     "op4_mixing": mixing.op4_mixing,
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_toxicity": toxicity.op6_toxicity,
