@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shardloom.llm import ann, chat, jaccard, lines, mixing, pieces, subspace, toxicity
+from shardloom.llm import ann, chat, jaccard, lines, mixing, pieces, repeats, subspace, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_pieces": pieces.op7_pieces,
     "op8_lines": lines.op8_lines,
     "op9_subspace": subspace.op9_subspace,
+    "op10_repeats": repeats.op10_repeats,
 }
 ORACLES = {"op1_chat": chat.OP1_SQL}
