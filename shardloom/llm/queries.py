@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from shardloom.llm import ann, chat, jaccard, lines, mixing, pieces, repeats, subspace, toxicity
+from shardloom.llm import ann, chat, jaccard, licenses, lines, mixing, pieces, repeats, subspace, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
+    "op2_licenses": licenses.op2_licenses,
     "op3_ann": ann.op3_ann,
     "op4_mixing": mixing.op4_mixing,
     "op5_jaccard": jaccard.op5_jaccard,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_subspace": subspace.op9_subspace,
     "op10_repeats": repeats.op10_repeats,
 }
-ORACLES = {"op1_chat": chat.OP1_SQL}
+ORACLES = {"op1_chat": chat.OP1_SQL, "op2_licenses": licenses.OP2_SQL}
