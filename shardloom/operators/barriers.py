@@ -12,14 +12,14 @@ from shardloom.operators.workers import seconds_between
 BARRIER_TIMEOUT_S = 300  # fixed value: longest wait at a barrier
 
 
-def barrier_arrivals(arrivals: DataFrame, expected: int, rows_per_slice: int | None = None) -> DataFrame:
+def barrier_arrivals(arrivals: DataFrame, expected: int, slices: int | None = None) -> DataFrame:
     """Arrival order and generation of every call at (barrier_id, worker_id, ts, event_id).
 
     Repeats by one worker count too. Each ``expected`` calls release a
     generation and the next call opens a new one; ``expected`` is fixed per run.
     """
     placed = ordered(
-        arrivals, ["barrier_id"], ["ts", "event_id"], position="place", total="calls", rows_per_slice=rows_per_slice
+        arrivals, ["barrier_id"], ["ts", "event_id"], position="place", total="calls", slices=slices
     )
     generation = F.floor(F.col("place") / expected).cast("bigint")
     released = (generation + 1) * expected <= F.col("calls")
@@ -39,7 +39,7 @@ def barrier_arrivals_dedup(arrivals: DataFrame, expected: int) -> DataFrame:
     """One generation in which only the first call of each worker counts."""
     first = arrivals.groupBy("barrier_id", "worker_id").agg(F.min(F.struct("ts", "event_id")).alias("first"))
     calls = first.select("barrier_id", "worker_id", "first.*")
-    placed = ordered(calls, ["barrier_id"], ["ts", "event_id"], position="place", total="calls", costly=True)
+    placed = ordered(calls, ["barrier_id"], ["ts", "event_id"], position="place", total="calls")
     return placed.select(
         "barrier_id",
         "worker_id",

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.operators.epochs import shard_assignment
@@ -163,14 +163,13 @@ def due_by_time(steps: DataFrame, interval: str) -> DataFrame:
     return due.select("run", F.col("w.start").alias("bucket"), "first.*")
 
 
-def due_adaptive(
-    steps: DataFrame, min_steps: int, max_steps: int, loss_threshold: float, rows_per_slice: int | None = None
-) -> DataFrame:
+def due_adaptive(steps: DataFrame, min_steps: int, max_steps: int, loss_threshold: float) -> DataFrame:
     """Steps at which the adaptive policy saves, from (run, step, loss).
 
     The rule is ours: counted from the last save (or the first step), save after
     at least ``min_steps`` when the loss has dropped by the threshold since
-    then, and after ``max_steps`` in any case.
+    then, and after ``max_steps`` in any case. Nothing short of the last save
+    tells the state, so each run is one pass of one task.
     """
 
     def walk(state, rows: pd.DataFrame):
@@ -185,16 +184,16 @@ def due_adaptive(
         return state, {"due": np.array(due, dtype=bool)}
 
     slim = steps.select("run", "step", F.col("loss").cast("double").alias("loss"))
-    return fold(slim, ["run"], ["step"], walk, "due boolean", rows_per_slice=rows_per_slice, costly=True).filter("due").drop("due")
+    return fold(slim, ["run"], ["step"], walk, "due boolean").filter("due").drop("due")
 
 
-def best_checkpoint(metrics: DataFrame, rows_per_slice: int | None = None) -> DataFrame:
+def best_checkpoint(metrics: DataFrame, slices: int | None = None) -> DataFrame:
     """Rows of (run, ts, event_id, accuracy) that strictly beat all earlier ones.
 
     The best accuracy starts at 0.
     """
     seen = ordered(
-        metrics, ["run"], ["ts", "event_id"], max_before={"best_before": "accuracy"}, rows_per_slice=rows_per_slice
+        metrics, ["run"], ["ts", "event_id"], max_before={"best_before": "accuracy"}, slices=slices
     )
     best = F.greatest(F.col("best_before"), F.lit(0.0))
     return seen.filter(F.col("accuracy") > F.coalesce(best, F.lit(0.0))).drop("best_before")
@@ -204,22 +203,33 @@ def table_delta(base: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
     """Changed entries between two versions: ``op`` and the new values."""
     keys = list(keys)
     values = [c for c in base.columns if c not in keys]
-    old = base.select(*keys, F.struct(*values).alias("old"))
-    fresh = new.select(*keys, F.struct(*values).alias("new"))
-    both = old.join(fresh, keys, "full")
+    old = base.select(F.struct(*keys).alias("old_key"), F.struct(*values).alias("old"))
+    fresh = new.select(F.struct(*keys).alias("new_key"), F.struct(*values).alias("new"))
+    both = old.join(fresh, _same_keys("old_key", "new_key", keys), "full")
     op = (
-        F.when(F.col("old").isNull(), "insert")
-        .when(F.col("new").isNull(), "delete")
+        F.when(F.col("old_key").isNull(), "insert")
+        .when(F.col("new_key").isNull(), "delete")
         .when(~F.col("old").eqNullSafe(F.col("new")), "update")
     )
     changed = both.withColumn("op", op).filter("op is not null")
-    return changed.select(*keys, "op", *[F.col(f"new.{c}").alias(c) for c in values])
+    named = [F.coalesce(F.col(f"new_key.{k}"), F.col(f"old_key.{k}")).alias(k) for k in keys]
+    return changed.select(*named, "op", *[F.col(f"new.{c}").alias(c) for c in values])
+
+
+def _same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Equal in all keys, null to null; the structs themselves are null for a missing side."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return same
 
 
 def apply_delta(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The new version from the old one and a delta."""
     keys = list(keys)
-    untouched = base.join(delta.select(*keys), keys, "left_anti")
+    kept = base.select(F.struct(*base.columns).alias("b"))
+    gone = delta.select(F.struct(*keys).alias("d"))
+    untouched = kept.join(gone, _same_keys("b", "d", keys), "left_anti").select("b.*")
     changed = delta.filter("op <> 'delete'").select(*base.columns)
     return untouched.unionByName(changed)
 

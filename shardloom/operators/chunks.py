@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 
 def chunk_payload(df: DataFrame, payload: str, chunks: int) -> DataFrame:
-    """Cut BINARY payloads into equal chunks (offset, chunk); an empty tail drops out."""
+    """Cut BINARY payloads into equal chunks (offset, chunk); an empty payload is one empty chunk.
+
+    An empty tail drops out, and so do null payloads.
+    """
     length = F.octet_length(payload)
     size = F.ceil(length / chunks).cast("int")
-    offsets = F.when(length > 0, F.sequence(F.lit(0), length - 1, F.greatest(size, F.lit(1))))
+    offsets = F.when(length > 0, F.sequence(F.lit(0), length - 1, F.greatest(size, F.lit(1)))).when(
+        length == 0, F.array(F.lit(0))
+    )
     rest = [c for c in df.columns if c != payload]
     cut = df.select(*rest, payload, size.alias("__size"), length.alias("total_size"), F.explode(offsets).alias("offset"))
     chunk = F.substring(F.col(payload), F.col("offset") + 1, F.col("__size"))
@@ -48,13 +53,15 @@ def reassemble(chunks: DataFrame, by: str) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("offset", "chunk")))
     grouped = chunks.groupBy(by).agg(parts.alias("parts"), F.max("total_size").alias("total_size"))
 
-    def joined(state: Column, part: Column) -> Column:
-        follows = F.octet_length(state["data"]) == part["offset"]
-        return F.struct(
-            F.concat(state["data"], part["chunk"]).alias("data"), (state["whole"] & follows).alias("whole")
-        )
-
-    start = F.struct(F.lit(b"").alias("data"), F.lit(True).alias("whole"))
-    folded = grouped.withColumn("f", F.aggregate("parts", start, joined))
-    complete = F.col("f.whole") & (F.octet_length("f.data") == F.col("total_size"))
-    return folded.select(by, complete.alias("complete"), F.when(complete, F.col("f.data")).alias("payload"))
+    sizes = F.transform("parts", lambda p: F.octet_length(p["chunk"]))
+    follows = F.forall(
+        F.sequence(F.lit(0), F.size("parts") - 1),
+        lambda i: F.get("parts", i)["offset"]
+        == F.when(i == 0, F.lit(0)).otherwise(F.get("parts", i - 1)["offset"] + F.octet_length(F.get("parts", i - 1)["chunk"])),
+    )
+    total = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, n: a + n)
+    complete = follows & (total == F.col("total_size"))
+    # The chunks are joined once, as hex, since Spark joins strings only.
+    data = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["chunk"])), ""))
+    told = grouped.withColumn("complete", complete)
+    return told.select(by, "complete", F.when(F.col("complete"), data).alias("payload"))

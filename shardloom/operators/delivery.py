@@ -15,14 +15,14 @@ MAX_PLAN_ROWS = 1_000_000
 MAX_PRUNED = 10_000
 
 
-def index_samples(df: DataFrame, order_by: Sequence[str], out: str = "sample_idx", rows_per_slice: int | None = None) -> DataFrame:
+def index_samples(df: DataFrame, order_by: Sequence[str], out: str = "sample_idx", slices: int | None = None) -> DataFrame:
     """Add the dense position 0 .. N-1 of each row along a unique order."""
-    return ordered(df, [], order_by, position=out, rows_per_slice=rows_per_slice)
+    return ordered(df, [], order_by, position=out, slices=slices)
 
 
-def shard_samples(df: DataFrame, order_by: Sequence[str], shard_size: int, rows_per_slice: int | None = None) -> DataFrame:
+def shard_samples(df: DataFrame, order_by: Sequence[str], shard_size: int, slices: int | None = None) -> DataFrame:
     """Add ``sample_idx`` and the ``shard_id`` it falls into."""
-    indexed = index_samples(df, order_by, rows_per_slice=rows_per_slice)
+    indexed = index_samples(df, order_by, slices=slices)
     return indexed.withColumn("shard_id", F.floor(F.col("sample_idx") / shard_size).cast("bigint"))
 
 
@@ -46,12 +46,11 @@ def deliver(epoch_rows: DataFrame) -> DataFrame:
 def shuffle_samples(df: DataFrame, id_col: str, *, dataset: str, epoch: int = 0, seed: int = 42, out: str = "position") -> DataFrame:
     """Reproducible row shuffle: the place of each row in the order of its key.
 
-    MD5 prefixes cut the order into 4096 even slices, so no sample is needed.
+    MD5 keys spread evenly, so the ranges that split them do too.
     """
     key = shuffle_key(F.lit(seed), F.lit(dataset), F.lit(epoch), F.col(id_col))
     keyed = df.withColumn("shuffle_key", key)
-    slices = F.conv(F.substring("shuffle_key", 1, 3), 16, 10).cast("int")
-    return ordered(keyed, [], ["shuffle_key", id_col], position=out, slices=slices).drop("shuffle_key")
+    return ordered(keyed, [], ["shuffle_key", id_col], position=out).drop("shuffle_key")
 
 
 def contiguous_split(df: DataFrame, order_by: Sequence[str], world: int) -> DataFrame:

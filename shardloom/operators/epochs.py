@@ -45,13 +45,13 @@ def with_epochs(shards: DataFrame, epochs: int) -> DataFrame:
     return shards.withColumn("epoch", F.explode(numbers))
 
 
-def epoch_shard_order(shards: DataFrame, seeds: DataFrame, rows_per_slice: int | None = None) -> DataFrame:
+def epoch_shard_order(shards: DataFrame, seeds: DataFrame, slices: int | None = None) -> DataFrame:
     """Add ``order_index``, the place of each shard in its epoch's shuffle."""
     keyed = shards.join(small(seeds).select("dataset_id", "seed"), "dataset_id")
     key = shuffle_key(F.col("seed"), F.col("dataset_id"), F.col("epoch"), F.col("shard_id"))
     keyed = keyed.withColumn("shuffle_key", key).drop("seed")
     placed = ordered(
-        keyed, ["dataset_id", "epoch"], ["shuffle_key", "shard_id"], position="order_index", rows_per_slice=rows_per_slice
+        keyed, ["dataset_id", "epoch"], ["shuffle_key", "shard_id"], position="order_index", slices=slices
     )
     return placed.drop("shuffle_key")
 

@@ -1,11 +1,9 @@
-"""Ordered folds per group for rules that need state, split over slices.
+"""Ordered folds per group for rules that need state.
 
-Each slice of a large table is folded on its own from an assumed entry state.
-The exit states (one per slice) then become the entry states of the following
-slices, and slices that had assumed another state are folded again until no
-entry state changes. The result is exact for every rule; rules that forget their
-past soon, such as a token bucket, settle after a round or two. Rows stream
-through each task in Arrow batches, whatever the size of a group.
+Rows of a group go through the rule in order, in Arrow batches, whatever the size
+of the group: memory holds one state. Where the state is known whatever came
+before (a bucket that has surely filled up), a group is cut into segments that
+go on their own, so a long-lived group spans tasks. One pass in either case.
 """
 
 from __future__ import annotations
@@ -18,8 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shardloom.operators.ordered import SLICE, sliceable
-
 GROUP = "__group"
 Step = Callable[[tuple | None, pd.DataFrame], tuple[tuple, dict]]
 
@@ -30,98 +26,43 @@ def fold(
     order: Sequence[str],
     step: Step,
     outputs: str,
-    rows_per_slice: int | None = None,
-    costly: bool = False,
+    segment: str | None = None,
     start: str | None = None,
 ) -> DataFrame:
     """Add the ``outputs`` columns that ``step`` computes along each group.
 
     ``step(state, rows)`` gets consecutive rows of one group and the state before
     them (None at its start); it returns the state after them and one array per
-    output. States must be JSON values (numbers, strings, lists). ``start`` may
-    name a column with the state a group starts from, as a JSON list or null; it
-    is not part of the result.
+    output. ``segment`` may name a column that numbers the parts of a group at
+    whose starts the rule forgets its past; ``start`` one with the state a group
+    starts from, as a JSON list or null. Both are left out of the result.
     """
     by, order = list(by), list(order)
-    names = [c for c in df.columns if c != start]
-    df, cut = sliceable(df, by + order, rows_per_slice, costly)
-    grouped = df.withColumn(GROUP, F.to_json(F.struct(*by)))
+    names = [c for c in df.columns if c not in (start, segment)]
+    key = F.struct(*by, segment) if segment else F.struct(*by)
+    grouped = df.withColumn(GROUP, F.to_json(key))
     added = StructType.fromDDL(outputs)
     schema = StructType([df.schema[c] for c in names] + added.fields)
-    if cut is None:
-        laid = grouped.withColumn(SLICE, F.lit(0)).repartition(GROUP).sortWithinPartitions(GROUP, *order)
-        return laid.mapInPandas(_rows(step, names, added.names, {}, start), schema)
-    laid = grouped.withColumn(SLICE, cut)
-    entries = _entry_states(laid, by, order, step, start)
-    sorted_slices = laid.repartition(SLICE).sortWithinPartitions(SLICE, *by, *order)
-    return sorted_slices.mapInPandas(_rows(step, names, added.names, entries, start), schema)
-
-
-def _entry_states(laid: DataFrame, by, order, step, start) -> dict[int, tuple[str, list]]:
-    """Rounds of slice folds until every slice starts from its neighbour's end.
-
-    Only one row per slice reaches the driver.
-    """
-    entries: dict[int, tuple[str, list]] = {}
-    ends: dict[int, tuple[str, str, list]] = {}
-    todo = None
-    while todo is None or todo:
-        part = laid if todo is None else laid.filter(F.col(SLICE).isin(sorted(todo)))
-        part = part.repartition(SLICE).sortWithinPartitions(SLICE, *by, *order)
-        exits = part.mapInPandas(_exits(step, entries, start), "slice int, first string, last string, state string")
-        for row in exits.collect():
-            ends[row.slice] = (row.first, row.last, json.loads(row.state))
-        order_of_slices = sorted(ends)
-        fresh = {}
-        for before, after in zip(order_of_slices, order_of_slices[1:]):
-            if ends[before][1] == ends[after][0]:
-                fresh[after] = (ends[before][1], ends[before][2])
-        todo = {s for s, entry in fresh.items() if entries.get(s) != entry}
-        entries = fresh
-    return entries
-
-
-def _walk(batches: Iterator[pd.DataFrame], step: Step, entries, start):
-    """Yield (slice, group, state, rows, outputs) for runs of one slice and group."""
-    at, state, seen = None, None, set()
-    for rows in batches:
-        if rows.empty:
-            continue
-        key = pd.Series(list(zip(rows[SLICE].tolist(), rows[GROUP].tolist())))
-        starts = [0, *(key.index[1:][key.iloc[1:].to_numpy() != key.iloc[:-1].to_numpy()]).tolist(), len(rows)]
-        for low, high in zip(starts, starts[1:]):
-            run = rows.iloc[low:high]
-            here = key.iloc[low]
-            if here != at:
-                entry = entries.get(here[0])
-                first = here[0] not in seen
-                state = None
-                if first and entry and entry[0] == here[1]:
-                    state = tuple(entry[1])
-                elif start and run[start].iloc[0]:
-                    state = tuple(json.loads(run[start].iloc[0]))
-                at = here
-                seen.add(here[0])
-            state, outputs = step(state, run)
-            yield here[0], here[1], state, run, outputs
-
-
-def _rows(step, names, added, entries, start):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, _, _, rows, outputs in _walk(batches, step, entries, start):
-            yield rows[names].assign(**{name: outputs[name] for name in added})
-
-    return run
+    # Without a number of partitions Spark may still split none and join small ones.
+    laid = grouped.repartition(GROUP).sortWithinPartitions(GROUP, *order)
+    return laid.mapInPandas(_rows(step, names, added.names, start), schema)
 
 
-def _exits(step, entries, start):
+def _rows(step: Step, names: list[str], added: list[str], start: str | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ends: dict[int, list] = {}
-        for number, group, state, _, _ in _walk(batches, step, entries, start):
-            first = ends[number][0] if number in ends else group
-            ends[number] = [first, group, json.dumps(list(state))]
-        yield pd.DataFrame(
-            [(number, *end) for number, end in ends.items()], columns=["slice", "first", "last", "state"]
-        )
+        at, state = None, None
+        for rows in batches:
+            if rows.empty:
+                continue
+            key = rows[GROUP].to_numpy()
+            starts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(rows)]
+            for low, high in zip(starts, starts[1:]):
+                run_rows = rows.iloc[low:high]
+                if key[low] != at:
+                    at, state = key[low], None
+                    if start and run_rows[start].iloc[0]:
+                        state = tuple(json.loads(run_rows[start].iloc[0]))
+                state, outputs = step(state, run_rows)
+                yield run_rows[names].assign(**{name: outputs[name] for name in added})
 
     return run

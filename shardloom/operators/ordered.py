@@ -1,88 +1,34 @@
 """Running values along an order, for groups of any size.
 
-A plain window puts each group into one task. Here a large table is first cut
-into slices along (group, order): the cut points come from a sample, the slices
-hold about equally many rows, and one hot group simply spans many slices. Each
-slice is summarised, the summaries (at most two groups per slice matter) are
-accumulated and broadcast, and the windows then run inside the slices only.
-Tables that fit one slice use the plain window.
+A plain window puts each group into one task. Here the table is split by ranges
+of (group, order) into as many slices as there are shuffle partitions and written
+once with its slice number; one hot group simply spans many slices. Each slice is
+summarised, the summaries (at most two groups a slice matter) are accumulated and
+broadcast, and the windows then run inside the slices only. Tables of all sizes
+take this way.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.session import settled
 
-ROWS_PER_SLICE = 1_000_000
-MAX_SLICES = 16_384
-SAMPLES_PER_SLICE = 12
-JSON_TIMES = {
-    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-}
 SLICE = "__slice"
 
 
-def slice_size(df: DataFrame, rows_per_slice: int | None) -> int:
-    if rows_per_slice:
-        return rows_per_slice
-    return int(df.sparkSession.conf.get("spark.shardloom.rowsPerSlice", str(ROWS_PER_SLICE)))
+def lay_out(df: DataFrame, order: Sequence[str], slices: int | None = None) -> DataFrame:
+    """``df`` written once, split by ranges of ``order``, with the slice of each row.
 
-
-def sliceable(df: DataFrame, order: Sequence[str], rows_per_slice: int | None, costly: bool) -> tuple[DataFrame, Column | None]:
-    """The input, written down if it is large and costly, and its slice column."""
-    total = df.count()
-    if total <= slice_size(df, rows_per_slice):
-        return df, None
-    if costly:
-        df = settled(df, "ordered")
-    return df, slice_of(df, order, total, rows_per_slice)
-
-
-def slice_of(df: DataFrame, order: Sequence[str], total: int, rows_per_slice: int | None = None) -> Column | None:
-    """Slice number of each of ``total`` rows, growing along ``order``.
-
-    The sample only places the cut points, every row keeps its slice. The cut
-    points are constants of the plan, so a recomputed task cuts the same way.
-    None if the sample gives no cut point.
+    Written, because a second sampling of the ranges might cut elsewhere; passes
+    over it and lost executors re-read files.
     """
-    slices = min(MAX_SLICES, math.ceil(total / slice_size(df, rows_per_slice)))
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    fraction = min(1.0, SAMPLES_PER_SLICE * slices / total)
-    sampled = df.select(key.alias("key")).sample(fraction=fraction, seed=17).orderBy("key")
-    points = [r[0] for r in sampled.select(F.to_json("key", JSON_TIMES)).collect()]
-    step = max(1, len(points) // slices)
-    cuts = points[step - 1 :: step][: slices - 1]
-    if not cuts:
-        return None
-    width = math.ceil(math.sqrt(len(cuts)))
-    blocks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    key_type = df.select(key.alias("key")).schema["key"].dataType.simpleString()
-
-    def constant(text: str, kind: str) -> Column:
-        return F.from_json(F.lit(text), kind, JSON_TIMES)
-
-    tops = constant("[" + ",".join(b[-1] for b in blocks) + "]", f"array<{key_type}>")
-    inner = constant(
-        "[" + ",".join("[" + ",".join(b) + "]" for b in blocks) + "]", f"array<array<{key_type}>>"
-    )
-    def place(value: Column, at: Column) -> Column:
-        within = F.size(F.filter(F.get(inner, at), lambda cut: cut <= value))
-        return at * F.lit(width) + F.greatest(within, F.lit(0))
-
-    # One-element arrays bind the key and its block, so each is built once a row.
-    found = F.transform(
-        F.array(key),
-        lambda value: F.get(
-            F.transform(F.array(F.size(F.filter(tops, lambda cut: cut <= value))), lambda at: place(value, at)), 0
-        ),
-    )
-    return F.get(found, 0)
+    parts = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(parts, *[F.col(c) for c in order]).withColumn(SLICE, F.spark_partition_id())
+    return settled(cut, "ordered")
 
 
 def ordered(
@@ -95,33 +41,22 @@ def ordered(
     sums: Mapping[str, str] | None = None,
     max_before: Mapping[str, str] | None = None,
     previous: Mapping[str, str] | None = None,
-    slices: Column | None = None,
-    rows_per_slice: int | None = None,
-    costly: bool = False,
+    slices: int | None = None,
+    laid_out: bool = False,
 ) -> DataFrame:
     """Add running columns per group; ``order`` (ascending) must be unique in it.
 
     ``position`` is the place from 0, ``total`` the rows of the group, ``sums``
     running sums with the row itself, ``max_before`` the largest value of earlier
     rows and ``previous`` the value of the row before, each as {new: source}.
-    ``slices`` may name a ready slice column that grows along ``order``. A
-    ``costly`` input comes out of shuffles; it is written down before the passes
-    that cutting a large table takes.
+    With ``laid_out`` the input comes from ``lay_out`` along the same order and
+    the result keeps its slices.
     """
     by, order = list(by), list(order)
     sums, max_before, previous = dict(sums or {}), dict(max_before or {}), dict(previous or {})
-    ready = slices is not None
-    if not ready:
-        df, slices = sliceable(df, by + order, rows_per_slice, costly)
-    if slices is None:
-        return _windows(df, by, order, position, total, sums, max_before, previous)
-
-    sliced = df.withColumn(SLICE, slices)
-    carry = _carry(sliced, by, order, sums, max_before, previous)
-    # Cut points bound the carry to two groups per slice. Ready slices without
-    # groups bound it too; with groups its size is unknown and Spark chooses.
-    if not ready or not by:
-        carry = F.broadcast(carry)
+    sliced = df if laid_out else lay_out(df, by + order, slices)
+    # A slice shares at most its first and its last group with others.
+    carry = F.broadcast(_carry(sliced, by, order, sums, max_before, previous))
     keys = [SLICE, *by]
     left, right = sliced.alias("l"), carry.alias("r")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
@@ -140,7 +75,7 @@ def ordered(
     for i, name in enumerate(previous):
         out = out.withColumn(name, F.when(first, F.col(f"__last.p{i}")).otherwise(F.col(name)))
     new = [name for name in (position, total) if name] + [*sums, *max_before, *previous]
-    return out.select(*[c for c in df.columns if c not in new], *new)
+    return out.select(*[c for c in sliced.columns if c not in new and (laid_out or c != SLICE)], *new)
 
 
 def _windows(df, by, order, position, total, sums, max_before, previous):

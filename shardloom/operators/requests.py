@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.operators.fold import fold
-from shardloom.operators.ordered import ordered
+from shardloom.operators.ordered import SLICE, lay_out, ordered
 from shardloom.operators.workers import seconds_between
 from shardloom.session import small
 
@@ -70,7 +70,7 @@ def p99_index(n: Column) -> Column:
 
 def rank_p99(df: DataFrame, by: Sequence[str], value: str, tie: str) -> DataFrame:
     """Exact 99th percentile of each group by its place in the order of values."""
-    placed = ordered(df, by, [value, tie], position="p99_place", total="p99_rows", costly=True)
+    placed = ordered(df, by, [value, tie], position="p99_place", total="p99_rows")
     hit = placed.filter(F.col("p99_place") == p99_index(F.col("p99_rows")))
     return hit.select(*by, F.col("p99_rows").alias("samples"), F.col(value).alias("p99"))
 
@@ -123,7 +123,7 @@ def spend_tokens(state, micros: list[int], rate: float, burst: int):
 
 
 def token_buckets(
-    requests: DataFrame, rate: float, burst: int, buckets: DataFrame | None = None, rows_per_slice: int | None = None
+    requests: DataFrame, rate: float, burst: int, buckets: DataFrame | None = None, slices: int | None = None
 ) -> DataFrame:
     """Every request with its decision and its client's bucket (tokens, mark) after it.
 
@@ -136,32 +136,40 @@ def token_buckets(
         return state, dict(zip(("allowed", "tokens_left", "mark_us"), arrays))
 
     timed = requests.select("client", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
+    along = ["at_us", "event_id"]
+    laid = lay_out(timed, ["client", *along], slices)
+    linked = ordered(laid, ["client"], along, previous={"before": "at_us"}, laid_out=True)
+    # After so long a pause the bucket is full and its mark is the request itself.
+    full = F.col("at_us") - F.col("before") >= F.lit(int((burst + 1) / rate * 1_000_000) + 1)
+    marked = linked.withColumn("fills", F.coalesce(full, F.lit(False)).cast("bigint"))
+    cut = ordered(marked, ["client"], along, sums={"segment": "fills"}, laid_out=True).drop(SLICE, "before", "fills")
     if buckets is not None:
-        held = F.to_json(F.array("tokens_left", "mark_us"))
-        timed = timed.join(small(buckets.select("client", held.alias("bucket"))), "client", "left")
+        # Only the first segment goes on from a kept bucket.
+        held = buckets.select("client", F.to_json(F.array("tokens_left", "mark_us")).alias("held"))
+        cut = cut.join(held, "client", "left").withColumn("bucket", F.when(F.col("segment") == 0, F.col("held"))).drop("held")
     return fold(
-        timed,
-        ["client"],
-        ["at_us", "event_id"],
-        step,
-        "allowed boolean, tokens_left bigint, mark_us bigint",
-        rows_per_slice=rows_per_slice,
-        start="bucket" if buckets is not None else None,
-    )
+        cut, ["client"], along, step, "allowed boolean, tokens_left bigint, mark_us bigint",
+        segment="segment", start="bucket" if buckets is not None else None,
+    )
 
 
-def rate_limit(requests: DataFrame, rate: float, burst: int, rows_per_slice: int | None = None) -> DataFrame:
+def rate_limit(requests: DataFrame, rate: float, burst: int, slices: int | None = None) -> DataFrame:
     """Decide every request of (client, ts, event_id) by a token bucket per client."""
-    decided = token_buckets(requests, rate, burst, rows_per_slice=rows_per_slice)
+    decided = token_buckets(requests, rate, burst, slices=slices)
     retry = F.when(~F.col("allowed"), F.lit(1.0 / rate))
     return decided.select("client", "event_id", "allowed", "tokens_left", retry.alias("retry_after_s"))
 
 
-def stale_clients(requests: DataFrame, as_of: Column, idle_s: float = STALE_CLIENT_S) -> DataFrame:
-    """Clients whose bucket would be dropped: idle for the limit or longer."""
-    seen = requests.groupBy("client").agg(F.max("ts").alias("last_seen"))
-    idle = seconds_between(F.col("last_seen"), as_of)
-    return seen.withColumn("idle_s", idle).filter(F.col("idle_s") >= idle_s)
+def stale_clients(requests: DataFrame, as_of: Column, rate: float, burst: int, idle_s: float = STALE_CLIENT_S) -> DataFrame:
+    """Clients whose bucket would be dropped: its last refill is the limit or longer ago.
+
+    A refill adds a whole token at least, so a client that keeps asking faster
+    than that has an old refill although its last request is new.
+    """
+    marks = token_buckets(requests, rate, burst).groupBy("client").agg(F.max("mark_us").alias("mark_us"))
+    idle = (F.unix_micros(as_of.cast("timestamp")) - F.col("mark_us")) / 1_000_000
+    refill = F.timestamp_micros("mark_us").cast("timestamp_ntz")
+    return marks.select("client", refill.alias("last_refill"), idle.alias("idle_s")).filter(F.col("idle_s") >= idle_s)
 
 
 def error_triage(errors: DataFrame) -> DataFrame:

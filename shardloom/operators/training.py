@@ -9,9 +9,9 @@ from shardloom.operators.ordered import ordered
 from shardloom.operators.workers import seconds_between
 
 
-def numbered_steps(log: DataFrame, rows_per_slice: int | None = None) -> DataFrame:
+def numbered_steps(log: DataFrame, slices: int | None = None) -> DataFrame:
     """Number the steps of each run from 0 by time."""
-    return ordered(log, ["run"], ["ts", "event_id"], position="step", rows_per_slice=rows_per_slice)
+    return ordered(log, ["run"], ["ts", "event_id"], position="step", slices=slices)
 
 
 def epoch_metrics(steps: DataFrame, steps_per_epoch: int) -> DataFrame:
@@ -30,7 +30,7 @@ def epoch_metrics(steps: DataFrame, steps_per_epoch: int) -> DataFrame:
     )
 
 
-def windowed_loss(steps: DataFrame, block: int = 100, rows_per_slice: int | None = None) -> DataFrame:
+def windowed_loss(steps: DataFrame, block: int = 100, slices: int | None = None) -> DataFrame:
     """Mean loss of each full block of batches; the accuracy is cumulative.
 
     Steps shrink to one row per block first; only blocks are accumulated.
@@ -40,7 +40,7 @@ def windowed_loss(steps: DataFrame, block: int = 100, rows_per_slice: int | None
         F.count(F.lit(1)).alias("batches"), F.sum("loss").alias("loss_sum"), F.sum("correct").alias("correct")
     )
     running = ordered(
-        blocks, ["run"], ["block"], sums={"seen": "batches", "right": "correct"}, rows_per_slice=rows_per_slice, costly=True
+        blocks, ["run"], ["block"], sums={"seen": "batches", "right": "correct"}, slices=slices
     )
     return running.filter(F.col("batches") == block).select(
         "run",
@@ -76,15 +76,14 @@ def final_metrics_rollup(metrics: DataFrame) -> DataFrame:
     return lines.select(name.alias("run"), F.when(F.col("footer") == 0, F.col("loss")).alias("loss"), "accuracy")
 
 
-def training_rate(steps: DataFrame, batch_size: int, total_steps: int, rows_per_slice: int | None = None) -> DataFrame:
+def training_rate(steps: DataFrame, batch_size: int, total_steps: int, slices: int | None = None) -> DataFrame:
     """Steps and samples per second between reports, and seconds to the end."""
     linked = ordered(
         steps,
         ["run"],
         ["ts", "event_id"],
         previous={"ts_before": "ts", "step_before": "step"},
-        rows_per_slice=rows_per_slice,
-        costly=True,
+        slices=slices,
     )
     seconds = seconds_between(F.col("ts_before"), F.col("ts"))
     rate = F.try_divide((F.col("step") - F.col("step_before")).cast("double"), seconds)

@@ -43,19 +43,20 @@ def rank_workers(workers: DataFrame, order: str = "registered_at") -> DataFrame:
 def register_workers(log: DataFrame, max_workers: int = MAX_WORKERS) -> DataFrame:
     """Every registration request with its rank or the reason it was refused.
 
-    ``log`` has (worker_id, ts, event_id). The first request of an id counts,
-    a repeat is refused as a duplicate, and ids beyond the cap are refused.
+    ``log`` has (worker_id, ts, event_id). The first request of an id counts
+    while the registry has room. Once it is full every further request is refused
+    for that, known ids included; before, a repeat is refused as a duplicate.
     """
     first = log.groupBy("worker_id").agg(F.min(F.struct("ts", "event_id")).alias("first"))
     # The cap turns the ranking into a bounded top list, whatever the log holds.
-    top = small(first.orderBy("first").limit(max_workers).select("worker_id", "first.*"), max_workers)
+    top = first.orderBy("first").limit(max_workers).select("worker_id", "first.*")
     place = F.row_number().over(Window.orderBy("ts", "event_id")) - 1
     accepted = top.select("worker_id", place.cast("bigint").alias("place"), F.col("event_id").alias("first_id"))
-    joined = log.join(F.broadcast(accepted), "worker_id", "left")
-    reason = (
-        F.when(F.col("place").isNull(), "max_workers_reached")
-        .when(F.col("event_id") != F.col("first_id"), "already_registered")
-    )
+    last = F.when(F.count(F.lit(1)) == max_workers, F.max(F.struct("ts", "event_id")))
+    full = top.agg(last.alias("full_at")).withColumn("one", F.lit(1))
+    joined = log.join(F.broadcast(accepted), "worker_id", "left").withColumn("one", F.lit(1)).join(F.broadcast(full), "one")
+    turned_down = F.col("place").isNull() | (F.col("event_id") != F.col("first_id"))
+    reason = F.when(turned_down & (F.struct("ts", "event_id") > F.col("full_at")), "max_workers_reached").when(turned_down, "already_registered")
     return joined.select(
         "event_id",
         "worker_id",
@@ -68,7 +69,7 @@ def register_workers(log: DataFrame, max_workers: int = MAX_WORKERS) -> DataFram
 
 def world_size_at_registration(changes: DataFrame) -> DataFrame:
     """Membership after each change; ``changes`` has (ts, event_id, worker_id, delta)."""
-    return ordered(changes, [], ["ts", "event_id"], sums={"world_size": "delta"}, costly=True)
+    return ordered(changes, [], ["ts", "event_id"], sums={"world_size": "delta"})
 
 
 def compact_ranks(workers: DataFrame, removed: DataFrame) -> DataFrame:
@@ -191,10 +192,10 @@ def task_activity(heartbeats: DataFrame) -> DataFrame:
     )
 
 
-def heartbeat_gaps(heartbeats: DataFrame, timeout_s: float = HEARTBEAT_TIMEOUT_S, rows_per_slice: int | None = None) -> DataFrame:
+def heartbeat_gaps(heartbeats: DataFrame, timeout_s: float = HEARTBEAT_TIMEOUT_S, slices: int | None = None) -> DataFrame:
     """Longest silence and number of silences over the timeout per worker."""
     slim = heartbeats.select("worker_id", "ts", "event_id")
-    linked = ordered(slim, ["worker_id"], ["ts", "event_id"], previous={"before": "ts"}, rows_per_slice=rows_per_slice)
+    linked = ordered(slim, ["worker_id"], ["ts", "event_id"], previous={"before": "ts"}, slices=slices)
     gap = linked.withColumn("gap_s", seconds_between(F.col("before"), F.col("ts")))
     return gap.groupBy("worker_id").agg(
         F.count(F.lit(1)).alias("heartbeats"),

@@ -14,7 +14,7 @@ from shardloom.session import small
 from shardloom.sources import views
 from shardloom.sources.tables import table
 
-LEAVER = "worker-3"
+LEAVER = "worker-13"
 NAMED_WORKER = "worker-5"
 
 
@@ -154,13 +154,15 @@ def both_sides(spark, sf):
     "ring_moves",
     with_views(
         "ring_assign_v", extra=RING_WITHOUT,
-        query="SELECT a.dataset_id, a.shard_id, p.worker_id AS from_worker, a.worker_id AS to_worker FROM ring_assign_v a "
-        "JOIN part_assign p ON a.dataset_id = p.dataset_id AND a.shard_id = p.shard_id WHERE a.worker_id <> p.worker_id",
+        query="SELECT c.change, a.dataset_id, a.shard_id, CASE WHEN c.change = 'join' THEN p.worker_id ELSE a.worker_id END AS from_worker, "
+        "CASE WHEN c.change = 'join' THEN a.worker_id ELSE p.worker_id END AS to_worker FROM ring_assign_v a JOIN part_assign p "
+        "ON a.dataset_id = p.dataset_id AND a.shard_id = p.shard_id, (VALUES ('join'), ('leave')) c(change) WHERE a.worker_id <> p.worker_id",
     ),
 )
 def ring_moves(spark, sf):
     without, with_all = both_sides(spark, sf)
-    return rg.ring_moves(without, with_all)
+    joins = rg.ring_moves(without, with_all).withColumn("change", F.lit("join"))
+    return joins.unionByName(rg.ring_moves(with_all, without).withColumn("change", F.lit("leave")))
 
 
 @query(

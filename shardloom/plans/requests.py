@@ -48,15 +48,20 @@ def requests_per_second(spark, sf):
     return rq.requests_per_second(views.requests(spark, sf))
 
 
+WALK = (
+    "r AS (SELECT client, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS n FROM requests_v), "
+    f"walk AS (SELECT client, event_id, n, us AS mark, {BURST - 1}::BIGINT AS tokens, TRUE AS allowed FROM r WHERE n = 1 UNION ALL "
+    "SELECT r.client, r.event_id, r.n, CASE WHEN a.added > 0 THEN r.us ELSE w.mark END, greatest(t.full_tokens - 1, 0), t.full_tokens > 0 FROM walk w "
+    "JOIN r ON r.client = w.client AND r.n = w.n + 1, LATERAL (SELECT CAST(floor(((r.us - w.mark) // 1000000 + ((r.us - w.mark) % 1000000 * 1000) / 1e9::DOUBLE) "
+    f"* (1.0::DOUBLE / 14400)) AS BIGINT) AS added) a, LATERAL (SELECT CASE WHEN a.added > 0 THEN least(w.tokens + a.added, {BURST}) ELSE w.tokens END AS full_tokens) t)"
+)
+
+
 @query(
     "rate_limit",
     with_views(
         "requests_v", recursive=True,
-        extra="r AS (SELECT client, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS n FROM requests_v), "
-        f"walk AS (SELECT client, event_id, n, us AS mark, {BURST - 1}::BIGINT AS tokens, TRUE AS allowed FROM r WHERE n = 1 UNION ALL "
-        "SELECT r.client, r.event_id, r.n, CASE WHEN a.added > 0 THEN r.us ELSE w.mark END, greatest(t.full_tokens - 1, 0), t.full_tokens > 0 FROM walk w "
-        "JOIN r ON r.client = w.client AND r.n = w.n + 1, LATERAL (SELECT CAST(floor(((r.us - w.mark) // 1000000 + ((r.us - w.mark) % 1000000 * 1000) / 1e9::DOUBLE) "
-        f"* (1.0::DOUBLE / 14400)) AS BIGINT) AS added) a, LATERAL (SELECT CASE WHEN a.added > 0 THEN least(w.tokens + a.added, {BURST}) ELSE w.tokens END AS full_tokens) t)",
+        extra=WALK,
         query="SELECT client, event_id, allowed, tokens AS tokens_left, CASE WHEN NOT allowed THEN 14400.0::DOUBLE END AS retry_after_s FROM walk",
     ),
 )
@@ -68,13 +73,13 @@ def rate_limit(spark, sf):
 @query(
     "stale_clients",
     with_views(
-        "requests_v",
-        query=f"SELECT client, max(ts) AS last_seen, (epoch_us({AS_OF_SQL}) - epoch_us(max(ts))) / 1000000 AS idle_s FROM requests_v GROUP BY client "
-        f"HAVING (epoch_us({AS_OF_SQL}) - epoch_us(max(ts))) / 1000000 >= 21600",
+        "requests_v", recursive=True, extra=WALK,
+        query=f"SELECT client, make_timestamp(max(mark)) AS last_refill, (epoch_us({AS_OF_SQL}) - max(mark)) / 1000000 AS idle_s FROM walk GROUP BY client "
+        f"HAVING (epoch_us({AS_OF_SQL}) - max(mark)) / 1000000 >= 21600",
     ),
 )
 def stale_clients(spark, sf):
-    return rq.stale_clients(views.requests(spark, sf), views.as_of(), idle_s=21_600)
+    return rq.stale_clients(views.requests(spark, sf), views.as_of(), RATE, BURST, idle_s=21_600)
 
 
 def spoiled_names(spark, sf):
@@ -126,13 +131,20 @@ def validate_paths(spark, sf):
     )
 
 
-@query("validate_metadata", f"SELECT event_id, CASE WHEN {K} >= 10 THEN 'value_too_long' END AS reason, 1::BIGINT AS entries FROM events")
+@query(
+    "validate_metadata",
+    "SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'too_many_entries' WHEN event_id % 11 = 0 THEN 'key_too_long' "
+    "WHEN event_id % 7 = 0 THEN 'value_too_long' END AS reason, CASE WHEN event_id % 13 = 0 THEN 65 ELSE 2 END::BIGINT AS entries FROM events",
+)
 def validate_metadata(spark, sf):
-    # The values have one or two digits; a limit of one byte splits them.
-    entries = F.from_json("props", "map<string,string>")
-    parsed = table(spark, sf, "events").select("event_id", entries.alias("entries"))
-    reason = checks.metadata_reason(F.col("entries"), max_value=1)
-    return parsed.select("event_id", reason.alias("reason"), F.size("entries").cast("bigint").alias("entries"))
+    n = F.col("event_id")
+    many = F.when(n % 13 == 0, F.transform(F.sequence(F.lit(1), F.lit(63)), lambda i: F.concat(F.lit("k"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    key = F.when(n % 11 == 0, F.repeat(F.lit("k"), F.lit(129))).otherwise(F.repeat(F.lit("k"), F.lit(128)))
+    value = F.when(n % 7 == 0, F.repeat(F.lit("v"), F.lit(1025))).otherwise(F.repeat(F.lit("v"), F.lit(1024)))
+    keys = F.concat(F.array(key, F.lit("event")), many)
+    values = F.transform(keys, lambda k: F.when(k == "event", F.col("event_type")).otherwise(value))
+    parsed = table(spark, sf, "events").select("event_id", F.map_from_arrays(keys, values).alias("entries"))
+    return parsed.select("event_id", checks.metadata_reason(F.col("entries")).alias("reason"), F.size("entries").cast("bigint").alias("entries"))
 
 
 @query(

@@ -18,7 +18,8 @@ TIMEOUT_S = 3600
 REGISTER_SQL = (
     "requests_in AS (SELECT event_id, user_id AS worker_id, ts FROM events WHERE event_type = 'signup'), "
     "firsts AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS place FROM (SELECT *, row_number() OVER "
-    "(PARTITION BY worker_id ORDER BY ts, event_id) AS n FROM requests_in) WHERE n = 1)"
+    "(PARTITION BY worker_id ORDER BY ts, event_id) AS n FROM requests_in) WHERE n = 1), "
+    "last_in AS (SELECT ts AS full_ts, event_id AS full_id FROM firsts WHERE place = 99)"
 )
 
 
@@ -31,8 +32,9 @@ def latest(spark, sf):
     with_views(
         extra=REGISTER_SQL,
         query="SELECT r.event_id, 'node-' || r.worker_id AS worker_id, r.ts, coalesce(f.event_id = r.event_id AND f.place < 100, FALSE) AS accepted, "
-        "CASE WHEN f.place >= 100 THEN 'max_workers_reached' WHEN f.event_id <> r.event_id THEN 'already_registered' END AS reason, "
-        "CASE WHEN f.event_id = r.event_id AND f.place < 100 THEN f.place END AS rank FROM requests_in r JOIN firsts f ON f.worker_id = r.worker_id",
+        "CASE WHEN f.event_id = r.event_id AND f.place < 100 THEN NULL WHEN (r.ts, r.event_id) > (l.full_ts, l.full_id) THEN 'max_workers_reached' "
+        "ELSE 'already_registered' END AS reason, CASE WHEN f.event_id = r.event_id AND f.place < 100 THEN f.place END AS rank "
+        "FROM requests_in r JOIN firsts f ON f.worker_id = r.worker_id LEFT JOIN last_in l ON TRUE",
     ),
 )
 def register_workers(spark, sf):

@@ -10,7 +10,7 @@ from shardloom.session import small
 from shardloom.streaming.run import run_batches, table_version
 
 
-def stream_barriers(arrivals: DataFrame, expected: int, folder: str, rows_per_slice: int | None = None) -> DataFrame:
+def stream_barriers(arrivals: DataFrame, expected: int, folder: str, slices: int | None = None) -> DataFrame:
     """Arrival order and generation of every call, numbered as batches come in.
 
     Calls of one batch are ordered by time; later batches continue the count, as
@@ -23,7 +23,7 @@ def stream_barriers(arrivals: DataFrame, expected: int, folder: str, rows_per_sl
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         before = table_version(spark, folder, "counts", number - 1)
-        placed = ordered(batch, ["barrier_id"], ["ts", "event_id"], position="place", rows_per_slice=rows_per_slice)
+        placed = ordered(batch, ["barrier_id"], ["ts", "event_id"], position="place", slices=slices)
         counts = batch.groupBy("barrier_id").agg(F.count(F.lit(1)).alias("calls"))
         if before is not None:
             counts = counts.unionByName(before).groupBy("barrier_id").agg(F.sum("calls").alias("calls"))

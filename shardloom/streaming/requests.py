@@ -23,7 +23,7 @@ def stream_request_windows(requests: DataFrame, width: str = "1 minute", slide:
 
 
 def stream_rate_limit(
-    requests: DataFrame, rate: float, burst: int, folder: str, idle_s: int = STALE_CLIENT_S, rows_per_slice: int | None = None
+    requests: DataFrame, rate: float, burst: int, folder: str, idle_s: int = STALE_CLIENT_S, slices: int | None = None
 ) -> DataFrame:
     """Decide each request of (client, ts, event_id) as batches come in.
 
@@ -37,7 +37,7 @@ def stream_rate_limit(
 
     def write(batch: DataFrame, number: int) -> None:
         before = table_version(spark, folder, "buckets", number - 1)
-        decided = token_buckets(batch, rate, burst, before, rows_per_slice)
+        decided = token_buckets(batch, rate, burst, before, slices)
         decided.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
         written = table_version(spark, folder, "out", number)
         last = F.max_by(F.struct("tokens_left", "mark_us", "at_us"), F.struct("at_us", "event_id"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
-import os
 import sys
 import time
 from pathlib import Path
@@ -74,8 +73,6 @@ def main():
     sf_dir = sys.argv[1]
     wanted = sys.argv[2:]
     spark = local_session()
-    if os.environ.get("ROWS_PER_SLICE"):
-        spark.conf.set("spark.shardloom.rowsPerSlice", os.environ["ROWS_PER_SLICE"])
     con = oracle(sf_dir)
     sqls = oracle_sql()
     bad = 0

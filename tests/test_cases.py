@@ -148,6 +148,17 @@ def test_delta_round_trip_with_nulls(spark):
     assert sorted(map(repr, checkpoints.apply_delta(old, delta, ["k"]).collect())) == sorted(map(repr, new.collect()))
 
 
+def test_delta_with_a_null_key(spark):
+    old = spark.createDataFrame([(None, "a"), (1, "b")], "k int, s string")
+    new = spark.createDataFrame([(None, "a"), (2, None)], "k int, s string")
+    assert checkpoints.table_delta(old, old, ["k"]).count() == 0
+    delta = checkpoints.table_delta(old, new, ["k"])
+    assert sorted((r.k, r.op) for r in delta.collect()) == [(1, "delete"), (2, "insert")]
+    assert sorted(map(repr, checkpoints.apply_delta(old, delta, ["k"]).collect())) == sorted(map(repr, new.collect()))
+    gone = checkpoints.table_delta(old, old.filter("k = 1"), ["k"])
+    assert [tuple(r) for r in checkpoints.apply_delta(old, gone, ["k"]).collect()] == [(1, "b")]
+
+
 def test_barrier_releases_at_the_third(spark):
     calls = spark.createDataFrame([("b", f"w{i}", i) for i in range(4)], "barrier_id string, worker_id string, event_id bigint")
     calls = calls.withColumn("ts", F.timestamp_seconds("event_id").cast("timestamp_ntz"))
@@ -205,6 +216,21 @@ def test_registry_refuses_repeats_and_overflow(spark):
     ]
 
 
+def test_a_full_registry_refuses_known_ids_as_full(spark):
+    log = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("a", 4), ("c", 5), ("b", 6)], "worker_id string, event_id bigint")
+    log = log.withColumn("ts", F.timestamp_seconds("event_id").cast("timestamp_ntz"))
+    got = workers.register_workers(log, max_workers=2).orderBy("event_id").collect()
+    full = "max_workers_reached"
+    assert [r.reason for r in got] == [None, "already_registered", None, full, full, full]
+
+
+def test_buckets_age_by_their_last_refill(spark):
+    # One token in 10 s; asking every second refills at 10, 20, ... only.
+    calls = spark.range(26).select(F.lit("c").alias("client"), F.col("id").alias("event_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"))
+    got = requests.stale_clients(calls, F.lit("1970-01-01 00:05:20").cast("timestamp_ntz"), 0.1, 5).collect()
+    assert [(str(r.last_refill), r.idle_s) for r in got] == [("1970-01-01 00:00:20", 300.0)]
+
+
 def test_liveness_is_strict(spark):
     beats = spark.createDataFrame([("a", "TRAINING"), ("b", "TRAINING")], "worker_id string, state string")
     beats = beats.withColumn("ts", F.when(F.col("worker_id") == "a", "2024-01-01 00:00:00").otherwise("2023-12-31 23:59:59").cast("timestamp_ntz"))
@@ -218,9 +244,6 @@ def test_chunks_round_trip_and_missing_chunk(spark, size):
     df = spark.createDataFrame([(1, bytearray(data))], "id int, payload binary")
     cut = chunks.chunk_payload(df, "payload", 7)
     back = chunks.reassemble(chunks.map_chunks(chunks.map_chunks(cut, b"key-1"), b"key-1"), "id").collect()
-    if size == 0:
-        assert back == []
-        return
     assert bytes(back[0].payload) == data and back[0].complete
     if cut.count() > 1:
         lost = chunks.reassemble(cut.filter("offset > 0"), "id").first()

@@ -39,7 +39,7 @@ def sample_windows(text):
 
 def test_sample_windows_run_in_slices(spark):
     lines = table(spark, SF_DIR, "lineitem")
-    sharded = delivery.shard_samples(lines, views.LINEITEM_ORDER, 100, rows_per_slice=500)
+    sharded = delivery.shard_samples(lines, views.LINEITEM_ORDER, 100, slices=12)
     shuffled = delivery.shuffle_samples(table(spark, SF_DIR, "orders"), "o_orderkey", dataset="orders")
     for df in (sharded, shuffled):
         windows = sample_windows(plan(df))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shardloom.operators import barriers, checkpoints, delivery, epochs, requests, training, workers
-from shardloom.operators.ordered import ordered, slice_of
+from shardloom.operators.ordered import SLICE, lay_out, ordered
 from shardloom.sources import views
 from shardloom.sources.tables import table
 
@@ -32,26 +32,45 @@ def hot(spark):
 
 
 @pytest.mark.parametrize("by", [["g"], []])
-@pytest.mark.parametrize("per_slice", [50, 700])
+@pytest.mark.parametrize("per_slice", [4, 60])
 def test_ordered_in_slices(hot, by, per_slice):
     def run(size):
         return ordered(
             hot, by, ["t", "i"], position="p", total="n", sums={"s": "w"}, max_before={"m": "v"},
-            previous={"pv": "w", "pi": "i"}, rows_per_slice=size,
+            previous={"pv": "w", "pi": "i"}, slices=size,
         )
 
-    assert rows(run(per_slice)) == rows(run(10**9))
+    assert rows(run(per_slice)) == rows(run(1))
 
 
 def test_slices_grow_and_stay_even(hot):
-    cut = slice_of(hot, ["g", "t", "i"], hot.count(), 100)
-    sizes = hot.groupBy(cut.alias("s")).agg(F.count("*").alias("n"), F.min(F.struct("g", "t", "i")).alias("low"))
+    cut = lay_out(hot, ["g", "t", "i"], 30)
+    sizes = cut.groupBy(F.col(SLICE).alias("s")).agg(F.count("*").alias("n"), F.min(F.struct("g", "t", "i")).alias("low"))
     got = [tuple(r) for r in sizes.orderBy("s").select("n", "low").collect()]
     assert len(got) > 20 and max(n for n, _ in got) < 400
     lows = [tuple("" if x is None else x for x in low) for _, low in got]
     assert lows == sorted(lows)
 
 
+def test_no_row_windows_in_one_task(spark):
+    orders = table(spark, SF_DIR, "orders").select("o_orderkey")
+    plan = delivery.index_samples(orders, ["o_orderkey"])._jdf.queryExecution().executedPlan().toString()
+    # One row per slice may meet in one task, the rows themselves never do.
+    assert "FileScan parquet [o_orderkey" in plan and plan.count("SinglePartition") <= 2
+
+
+def test_rate_limit_takes_few_jobs_whatever_the_slices(spark):
+    df = spark.range(2000).select(F.lit("steady").alias("client"), F.col("id").alias("event_id"), F.timestamp_micros(F.col("id") * 100_000).cast("timestamp_ntz").alias("ts"))
+    jobs = []
+    for slices in (20, 200):
+        spark.sparkContext.setJobGroup(f"fold-{slices}", "")
+        decided = requests.rate_limit(df, 10.0, 5, slices=slices)
+        assert decided.count() == 2000
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fold-{slices}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 2
+
+
 def test_shuffle_positions_use_ready_slices(spark):
     orders = table(spark, SF_DIR, "orders").select("o_orderkey")
     placed = delivery.shuffle_samples(orders, "o_orderkey", dataset="orders")
@@ -74,7 +93,7 @@ def brute_force_limit(pairs, rate, burst):
     return out
 
 
-@pytest.mark.parametrize("per_slice", [25, 10**9])
+@pytest.mark.parametrize("per_slice", [25, 1])
 def test_rate_limit_against_brute_force(spark, per_slice):
     rng = random.Random(5)
     calls, at = [], 1_700_000_000_000_000
@@ -84,32 +103,38 @@ def test_rate_limit_against_brute_force(spark, per_slice):
         calls.append((client, event, at))
     df = spark.createDataFrame(calls, "client string, event_id bigint, us bigint")
     df = df.select("client", "event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"))
-    got = {r.event_id: r.allowed for r in requests.rate_limit(df, 10.0, 5, rows_per_slice=per_slice).collect()}
+    got = {r.event_id: r.allowed for r in requests.rate_limit(df, 10.0, 5, slices=per_slice).collect()}
     want = {}
     for client in {c for c, _, _ in calls}:
         want.update(brute_force_limit([(a, e) for c, e, a in calls if c == client], 10.0, 5))
     assert got == want and not all(got.values())
 
 
-def test_adaptive_policy_in_slices(spark):
+def test_adaptive_policy_against_a_loop(spark):
     steps = training.numbered_steps(views.runs(spark, SF_DIR))
-    plain = checkpoints.due_adaptive(steps, 3, 12, 20.0)
-    assert rows(plain) == rows(checkpoints.due_adaptive(steps, 3, 12, 20.0, rows_per_slice=30))
+    want, saved = [], {}
+    for r in sorted(steps.collect(), key=lambda r: (r.run, r.step)):
+        at, loss = saved.setdefault(r.run, (r.step, float(r.loss)))
+        if r.step - at >= 12 or (r.step - at >= 3 and loss - float(r.loss) >= 20.0):
+            saved[r.run] = (r.step, float(r.loss))
+            want.append((r.run, r.step))
+    got = checkpoints.due_adaptive(steps, 3, 12, 20.0)
+    assert sorted((r.run, r.step) for r in got.collect()) == want and want
 
 
 def test_event_operators_in_slices(spark):
     cases = [
-        lambda n: barriers.barrier_arrivals(views.arrivals(spark, SF_DIR), 16, rows_per_slice=n),
-        lambda n: workers.heartbeat_gaps(views.heartbeats(spark, SF_DIR), 3600, rows_per_slice=n),
-        lambda n: training.numbered_steps(views.runs(spark, SF_DIR), rows_per_slice=n),
-        lambda n: training.windowed_loss(training.numbered_steps(views.runs(spark, SF_DIR)), 10, rows_per_slice=n),
+        lambda n: barriers.barrier_arrivals(views.arrivals(spark, SF_DIR), 16, slices=n),
+        lambda n: workers.heartbeat_gaps(views.heartbeats(spark, SF_DIR), 3600, slices=n),
+        lambda n: training.numbered_steps(views.runs(spark, SF_DIR), slices=n),
+        lambda n: training.windowed_loss(training.numbered_steps(views.runs(spark, SF_DIR)), 10, slices=n),
         lambda n: delivery.index_samples(
-            table(spark, SF_DIR, "lineitem").select(*views.LINEITEM_ORDER), views.LINEITEM_ORDER, rows_per_slice=n
+            table(spark, SF_DIR, "lineitem").select(*views.LINEITEM_ORDER), views.LINEITEM_ORDER, slices=n
         ),
-        lambda n: delivery.index_samples(table(spark, SF_DIR, "documents").select("source", "doc_id"), ["source", "doc_id"], rows_per_slice=n),
+        lambda n: delivery.index_samples(table(spark, SF_DIR, "documents").select("source", "doc_id"), ["source", "doc_id"], slices=n),
     ]
     for case in cases:
-        assert rows(case(40)) == rows(case(10**9))
+        assert rows(case(40)) == rows(case(1))
 
 
 def test_epoch_order_in_slices(spark):
@@ -117,7 +142,7 @@ def test_epoch_order_in_slices(spark):
 
     manifest = views.manifest(spark, SF_DIR)
     shards = epochs.with_epochs(shard_ranges(manifest), 2)
-    assert rows(epochs.epoch_shard_order(shards, manifest, rows_per_slice=20)) == rows(epochs.epoch_shard_order(shards, manifest))
+    assert rows(epochs.epoch_shard_order(shards, manifest, slices=20)) == rows(epochs.epoch_shard_order(shards, manifest))
 
 
 def test_newest_per_group_with_a_hot_group(hot):

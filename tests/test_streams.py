@@ -45,7 +45,7 @@ def test_latest_heartbeat(spark, parts):
 
 def test_barriers_continue_over_batches(spark, parts):
     live = views.arrival_columns(stream(spark, parts, "events"))
-    out = arrivals.stream_barriers(live, 16, work_folder(spark, "t"), rows_per_slice=60)
+    out = arrivals.stream_barriers(live, 16, work_folder(spark, "t"), slices=6)
     batch = barriers.barrier_arrivals(views.arrivals(spark, SF_DIR), 16)
     columns = ["barrier_id", "worker_id", "event_id", "generation", "arrival_order"]
     assert rows(out.select(columns)) == rows(batch.select(columns))
@@ -55,7 +55,7 @@ def test_rate_limit(spark, parts):
     live = views.request_columns(stream(spark, parts, "events"))
     batch = requests.rate_limit(views.requests(spark, SF_DIR), 1 / 14400, 3).drop("retry_after_s")
     for size in (None, 60):
-        out = stream_requests.stream_rate_limit(live, 1 / 14400, 3, work_folder(spark, "t"), rows_per_slice=size)
+        out = stream_requests.stream_rate_limit(live, 1 / 14400, 3, work_folder(spark, "t"), slices=size)
         assert rows(out) == rows(batch)
 
 
