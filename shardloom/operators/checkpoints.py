@@ -86,22 +86,26 @@ def list_checkpoints(catalogue: DataFrame, limit: int = LISTING_LIMIT) -> DataFr
 
 def recovery_point(catalogue: DataFrame) -> DataFrame:
     """Exactly one row: where to resume, or has_checkpoint = false."""
-    best = F.max_by(F.struct("checkpoint_id", "step", "epoch", "path"), "step").alias("c")
+    best = F.max_by(F.struct("checkpoint_id", "step", "epoch", "path", "size_bytes", "metadata"), "step").alias("c")
     zero = F.lit(0).cast("bigint")
     return catalogue.agg(best).select(
         F.col("c").isNotNull().alias("has_checkpoint"),
         F.col("c.checkpoint_id").alias("checkpoint_id"),
         F.coalesce("c.step", zero).alias("resume_step"),
         F.coalesce("c.epoch", zero).alias("resume_epoch"),
+        F.col("c.path").alias("checkpoint_path"),
+        F.col("c.size_bytes").alias("checkpoint_bytes"),
+        F.col("c.metadata").alias("metadata"),
     )
 
 
 def recovery_plan(catalogue: DataFrame, manifest: DataFrame, ranked: DataFrame, worker_id: str) -> DataFrame:
-    """The recovery point with all shards of one worker at its epoch."""
+    """The recovery point, where it is stored, and all shards of one worker at its epoch with their files' place."""
     epoch = catalogue.agg(F.max_by("epoch", "step")).scalar()
     epochs = manifest.select("dataset_id", epoch.alias("epoch")).filter("epoch is not null")
     plan = shard_assignment(manifest, ranked, epochs).filter(F.col("worker_id") == worker_id)
     plan = plan.select("dataset_id", "epoch", "shard_id", "total_shards", "start_index", "end_index")
+    plan = plan.join(manifest.select("dataset_id", F.col("path").alias("dataset_path")), "dataset_id")
     point = recovery_point(catalogue)
     return point.join(plan, point["resume_epoch"] == plan["epoch"], "left").drop("epoch")
 

@@ -94,18 +94,22 @@ def shard_ranges(manifest: DataFrame) -> DataFrame:
     )
 
 
-def state_snapshot(manifest: DataFrame, epochs: DataFrame, workers: DataFrame) -> DataFrame:
-    """The planning state as JSON lines, one per dataset and worker."""
+JSON_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def state_snapshot(manifest: DataFrame, epochs: DataFrame, workers: DataFrame, ring: DataFrame | None = None) -> DataFrame:
+    """The planning state as JSON lines, one per dataset, worker and virtual node of the ring."""
     datasets = manifest.join(epochs.select("dataset_id", "current_epoch"), "dataset_id", "left")
     datasets = datasets.withColumn("current_epoch", F.coalesce("current_epoch", F.lit(0).cast("bigint")))
 
     def lines(df: DataFrame, kind: str) -> DataFrame:
-        return df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*sorted(df.columns))).alias("state"))
+        return df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*sorted(df.columns)), JSON_TIMES).alias("state"))
 
-    return lines(datasets, "dataset").unionByName(lines(workers, "worker"))
+    both = lines(datasets, "dataset").unionByName(lines(workers, "worker"))
+    return both if ring is None else both.unionByName(lines(ring, "ring"))
 
 
 def restore(snapshot: DataFrame, kind: str, schema: str) -> DataFrame:
     """Rebuild the table of one kind from a snapshot."""
-    parsed = F.from_json("state", schema)
+    parsed = F.from_json("state", schema, JSON_TIMES)
     return snapshot.filter(F.col("kind") == kind).select(parsed.alias("row")).select("row.*")

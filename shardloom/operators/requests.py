@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from shardloom.operators.fold import fold
 from shardloom.operators.ordered import SLICE, lay_out, ordered
 from shardloom.operators.workers import seconds_between
-from shardloom.session import small
 
 # Kept latency samples, share of the percentile, idle limit of a
 # client, and per error class (retryable, fatal, delay hint in milliseconds).

@@ -101,6 +101,12 @@ def ring_moves(before: DataFrame, after: DataFrame) -> DataFrame:
     return pairs.filter(~F.col("from_worker").eqNullSafe(F.col("to_worker")))
 
 
+def eviction_moves(shards: DataFrame, ring: DataFrame, dead: DataFrame) -> DataFrame:
+    """What an eviction moves: each shard of a dead worker with its new owner on the ring of the rest."""
+    rest = ring.join(dead.select("worker_id"), "worker_id", "left_anti")
+    return ring_moves(ring_assignment(shards, ring), ring_assignment(shards, rest))
+
+
 def _pairs(before: DataFrame, after: DataFrame) -> DataFrame:
     old = before.select("dataset_id", "shard_id", F.col("worker_id").alias("from_worker"))
     new = after.select("dataset_id", "shard_id", F.col("worker_id").alias("to_worker"))

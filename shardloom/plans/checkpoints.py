@@ -114,17 +114,20 @@ def list_checkpoints(spark, sf):
     "recovery_plan",
     with_views(
         "catalogue_v", "ring_assign_v", "ranked_v",
-        extra="point AS (SELECT checkpoint_id, step, epoch FROM catalogue_v ORDER BY step DESC LIMIT 1), "
+        extra="point AS (SELECT checkpoint_id, step, epoch, path, size_bytes, worker_id FROM catalogue_v ORDER BY step DESC LIMIT 1), "
         "plan AS (SELECT o.dataset_id, shard_id, total_shards, start_index, end_index FROM (SELECT s.*, row_number() OVER (PARTITION BY dataset_id "
         "ORDER BY md5(concat_ws('|', seed, dataset_id, (SELECT epoch FROM point), shard_id)), shard_id) - 1 AS n FROM shards_v s WHERE shuffle) o "
         f"JOIN ranked_v w ON o.n % (SELECT count(*) FROM ranked_v) = w.rank WHERE w.worker_id = '{WORKER}' "
         f"UNION ALL SELECT dataset_id, shard_id, total_shards, start_index, end_index FROM ring_assign_v WHERE NOT shuffle AND worker_id = '{WORKER}')",
-        query="SELECT TRUE AS has_checkpoint, checkpoint_id, step AS resume_step, epoch AS resume_epoch, dataset_id, shard_id, total_shards, start_index, end_index "
-        "FROM point LEFT JOIN plan ON TRUE",
+        query="SELECT TRUE AS has_checkpoint, checkpoint_id, step AS resume_step, epoch AS resume_epoch, path AS checkpoint_path, size_bytes AS checkpoint_bytes, "
+        "worker_id AS written_by, dataset_id, shard_id, total_shards, start_index, end_index, dataset_id || '.parquet' AS dataset_file FROM point LEFT JOIN plan ON TRUE",
     ),
 )
 def recovery_plan(spark, sf):
-    return ck.recovery_plan(catalogue(spark, sf), views.manifest(spark, sf), ranked(spark, sf), WORKER)
+    plan = ck.recovery_plan(catalogue(spark, sf), views.manifest(spark, sf), ranked(spark, sf), WORKER)
+    # Folders differ between machines, so the answer shows the last part of the path.
+    plan = plan.withColumn("dataset_file", F.substring_index("dataset_path", "/", -1))
+    return plan.withColumn("written_by", F.try_element_at("metadata", F.lit("worker_id"))).drop("metadata", "dataset_path")
 
 
 STATUS = (

@@ -73,14 +73,28 @@ def shard_ranges(spark, sf):
     ),
 )
 def state_snapshot(spark, sf):
-    manifest = small(views.manifest(spark, sf).drop("path"))
-    epochs = ep.epoch_state(views.epoch_log(spark, sf), manifest)
-    snapshot = mf.state_snapshot(manifest, epochs, views.workers(spark, sf))
     schema = (
         "current_epoch bigint, dataset_id string, format string, seed bigint, shard_size bigint, "
         "shuffle boolean, total_samples bigint, total_shards bigint"
     )
-    return mf.restore(snapshot, "dataset", schema)
+    return mf.restore(snapshot(spark, sf), "dataset", schema)
+
+
+def snapshot(spark, sf):
+    manifest = small(views.manifest(spark, sf).drop("path"))
+    epochs = ep.epoch_state(views.epoch_log(spark, sf), manifest)
+    return mf.state_snapshot(manifest, epochs, views.workers(spark, sf), ring_of(spark, sf))
+
+
+@query("restored_workers", with_views("workers_v", query="SELECT worker_id, registered_at, gpu_count FROM workers_v"))
+def restored_workers(spark, sf):
+    return mf.restore(snapshot(spark, sf), "worker", "worker_id string, registered_at timestamp_ntz, gpu_count bigint")
+
+
+@query("restored_ring", with_views("ring_v", query="SELECT worker_id, vnode, position FROM ring_v"))
+def restored_ring(spark, sf):
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ring_of(spark, sf).schema)
+    return mf.restore(snapshot(spark, sf), "ring", kinds).select("worker_id", "vnode", "position")
 
 
 @query("hash_ring", with_views("ring_v", query="SELECT worker_id, vnode, position FROM ring_v"))

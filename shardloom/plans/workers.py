@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shardloom.operators import workers as wk
-from shardloom.plans.placement import ranked
+from shardloom.operators.ring import eviction_moves as eviction
+from shardloom.plans.placement import ranked, ring_of, shards_of
 from shardloom.plans.registry import query
-from shardloom.plans.sql_views import K, with_views
+from shardloom.plans.sql_views import FNV, K, with_views
 from shardloom.session import small
 from shardloom.sources import views
 from shardloom.sources.tables import table
@@ -181,6 +182,22 @@ def evict_dead(spark, sf):
     return evicted.select("worker_id", "gpu_count", "evicted", "new_rank")
 
 
+@query(
+    "eviction_moves",
+    with_views(
+        "ring_assign_v", "latest_v",
+        extra=f"rest_ring AS (SELECT * FROM ring_v WHERE worker_id NOT IN (SELECT worker_id FROM latest_v WHERE {SILENT_SQL} > {TIMEOUT_S})), "
+        "rest_assign AS (SELECT s.dataset_id, s.shard_id, coalesce(r.worker_id, (SELECT min_by(worker_id, position) FROM rest_ring)) AS worker_id FROM "
+        "(SELECT *, " + FNV.format("dataset_id || ':' || shard_id") + " AS at FROM shards_v) s ASOF LEFT JOIN rest_ring r ON s.at <= r.position)",
+        query="SELECT a.dataset_id, a.shard_id, a.worker_id AS from_worker, p.worker_id AS to_worker FROM ring_assign_v a "
+        "JOIN rest_assign p ON a.dataset_id = p.dataset_id AND a.shard_id = p.shard_id WHERE a.worker_id <> p.worker_id",
+    ),
+)
+def eviction_moves(spark, sf):
+    dead = wk.dead_workers(latest(spark, sf), views.as_of(), TIMEOUT_S)
+    return eviction(shards_of(spark, sf), ring_of(spark, sf), dead)
+
+
 @query(
     "aggregate_resources",
     with_views(
