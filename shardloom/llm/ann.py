@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import read, settle
+from shardloom.llm.common import read, settle, small_batches
 from shardloom.llm.subspace import usable
 
 NEIGHBOURS = 10
@@ -78,7 +78,8 @@ def _company(offers: int):
                 rows = pd.concat([rest, rows], ignore_index=True)
             last = rows["center"].iloc[-1]
             rest = rows[rows["center"] == last]
-            yield join(rows[rows["center"] != last])
+            if len(rest) < len(rows):
+                yield join(rows[rows["center"] != last])
         if rest is not None and len(rest):
             yield join(rest)
 
@@ -99,7 +100,8 @@ def _best(edges: int):
                 rows = pd.concat([rest, rows], ignore_index=True)
             last = rows["u"].iloc[-1]
             rest = rows[rows["u"] == last]
-            yield keep(rows[rows["u"] != last])
+            if len(rest) < len(rows):
+                yield keep(rows[rows["u"] != last])
         if rest is not None and len(rest):
             yield keep(rest)
 
@@ -200,6 +202,7 @@ def nearest(rows: DataFrame, asks, key: str = "vec_id", vector: str = "embedding
     length than most, and rows with a null key take no part. Rows equal in key
     and vector are one; a repeated key with other vectors is asked once per vector.
     """
+    small_batches(rows.sparkSession)
     named = rows.select(F.col(key).alias("key"), F.col(vector).alias("vector")).filter(usable(F.col("vector")) & F.col("key").isNotNull()).distinct()
     usual = named.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     schema = "query_id long, rank int, vec_id long, score double"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 # Any fixed odd numbers do; they only have to agree between tasks.
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xD6E8FEB86659FD93)
-MAP_BITS = 27
+MAP_BITS = 25
 U64 = np.uint64
 
 

@@ -20,6 +20,11 @@ def row_key(key: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(key), F.col(text))
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns as one struct: work columns beside it clash with none of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files.
 
@@ -31,6 +36,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of fewer rows than Spark's default, as rows hold whole texts; a setting of one's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) == 10_000:
+        spark.conf.set(name, str(rows))
+
+
 def release(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -19,13 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import read, settle
+from shardloom.llm.common import read, settle, whole
 
 # Source weights by rank, repeating, and the largest share of itself a source may reach.
 WEIGHTS = [5.0, 2.0, 1.0]
 CAP = 3
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_BIN = 2000
+ROWS_PER_BIN = 256
 
 
 def word_count(text: Column) -> Column:
@@ -133,7 +133,7 @@ def _round_rates(cap: int):
 
 
 def mix(docs: DataFrame, key: str, source: str, size: Column, weights=tuple(WEIGHTS), cap: int = CAP) -> DataFrame:
-    """All columns of ``docs`` and ``__size``, ``__source_size``, ``__target``, ``__copies``.
+    """(key, source, size, source_size, target, copies) for every row of ``docs``, of which it reads no more than that.
 
     Within a size class of a source the copies are dealt by a hash of the key:
     all get the same number, and the lowest hashes one more. Classes are cut into
@@ -141,9 +141,9 @@ def mix(docs: DataFrame, key: str, source: str, size: Column, weights=tuple(WEIG
     rows still spreads. A null source is a source; documents without words get
     one copy; equal keys of equal size are interchangeable; no rows give no rows.
     """
-    rows = docs.withColumn("__size", size).withColumn("__hash", F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0"))))
-    src = F.col(source).alias("source")
-    hist = settle(rows.groupBy(src, F.col("__size").alias("size")).agg(F.count("*").alias("n")), "sizes")
+    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"))
+    rows = rows.withColumn("hash", F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("\0"))))
+    hist = settle(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
     targets = settle(
         source_targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, cap), "targets"
     )
@@ -164,9 +164,9 @@ def mix(docs: DataFrame, key: str, source: str, size: Column, weights=tuple(WEIG
         ),
         "plan",
     )
-    keyed = rows.join(plan, F.col(source).eqNullSafe(F.col("p_source")) & (F.col("__size") == F.col("p_size")))
+    keyed = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
     # Where the hash falls among the bins of its class: an order of hashes, cut evenly.
-    place = (F.col("__hash").cast("double") / F.lit(2.0**64) + 0.5) * F.col("bins")
+    place = (F.col("hash").cast("double") / F.lit(2.0**64) + 0.5) * F.col("bins")
     binned = keyed.withColumn("__bin", F.least(F.floor(place), F.col("bins") - 1))
     klass = ["p_source", "p_size"]
     counts = binned.filter("extra > 0").groupBy(*klass, "__bin").agg(F.count("*").alias("in_bin"), F.first("extra").alias("extra"))
@@ -181,14 +181,13 @@ def mix(docs: DataFrame, key: str, source: str, size: Column, weights=tuple(WEIG
         share, F.col("p_source").eqNullSafe(F.col("b_p_source")) & (F.col("p_size") == F.col("b_p_size")) & (F.col("__bin") == F.col("b_bin")), "left"
     )
     # Only the bin in which the extra copies run out needs an order.
-    rank = F.row_number().over(Window.partitionBy(*klass, "__bin").orderBy("__hash", F.col(key)))
-    names = [F.col(c) for c in docs.columns]
-    told = [F.col("__size"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")]
+    rank = F.row_number().over(Window.partitionBy(*klass, "__bin").orderBy("hash", "key"))
+    told = ["key", "source", "size", "source_size", "target"]
     even = dealt.filter(F.col("left").isNull() | ~F.col("cut")).select(
-        *names, *told, (F.col("base") + F.when(F.col("left").isNull(), 0).otherwise(1)).alias("__copies")
+        *told, (F.col("base") + F.when(F.col("left").isNull(), 0).otherwise(1)).alias("copies")
     )
     cut = dealt.filter("cut").withColumn("__rank", rank).select(
-        *names, *told, (F.col("base") + F.when(F.col("__rank") <= F.col("left"), 1).otherwise(0)).alias("__copies")
+        *told, (F.col("base") + F.when(F.col("__rank") <= F.col("left"), 1).otherwise(0)).alias("copies")
     )
     return even.unionByName(cut)
 
@@ -198,9 +197,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = settle(docs, "words")
     mixed = mix(sized, "doc_id", "source", F.col("words"))
     return mixed.select(
-        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
-        (F.col("__copies") * F.col("__size")).cast("long").alias("taken"), "source", F.col("__copies").cast("long").alias("copies"),
-    )
+        F.col("key").alias("doc_id"), "size", "source_size", "target",
+        (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", F.col("copies").cast("long").alias("copies"),
+    )
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -209,13 +208,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows equal in doc_id, source and text share their copies.
     """
     row = F.xxhash64("doc_id", "source", "text")
-    keyed = docs.withColumn("__row", row)
-    sized = settle(keyed.select("doc_id", "__row", "source", word_count(F.col("text")).alias("words")), "words")
-    mixed = mix(sized, "__row", "source", F.col("words"))
-    taken = mixed.groupBy("doc_id", "__row").agg(F.sum("__copies").alias("__take"), F.count("*").alias("__times")).filter("__take > 0")
-    taken = settle(taken.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__r"), "__take", "__times"), "taken")
-    joined = keyed.join(taken, (F.col("__row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    once = joined.filter("__times = 1")
-    again = joined.filter("__times > 1").dropDuplicates(["doc_id", "__row"])
-    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__take").cast("long"))).alias("__copy")
-    return once.unionByName(again).select(*docs.columns, each).select(*docs.columns)
+    keyed = docs.select(whole(docs).alias("doc"), row.alias("row"), "source", word_count(F.col("text")).alias("words"))
+    sized = settle(keyed.select("row", "source", "words"), "words")
+    mixed = mix(sized, "row", "source", F.col("words"))
+    taken = mixed.groupBy("key").agg(F.sum("copies").cast("long").alias("take"), F.count("*").alias("times")).filter("take > 0")
+    joined = keyed.select("doc", "row").join(settle(taken, "taken"), F.col("row") == F.col("key"))
+    once = joined.filter("times = 1")
+    again = joined.filter("times > 1").dropDuplicates(["row"])
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("take")))
+    return once.union(again).select("doc", each).select("doc.*")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StructType
 
-from shardloom.llm.common import read
+from shardloom.llm.common import read, small_batches, whole
 
 MARK = "▁"
 CHUNK_CHARS = 6_000_000
@@ -304,6 +304,7 @@ def with_pieces(df: DataFrame, text: str = "text", model_file: str | None = None
     any length are encoded whole.
     """
     spark = df.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(Pieces(model_file or default_model()))
     kind = "ids array<int>, round_trip boolean"
 
@@ -329,10 +330,9 @@ def with_pieces(df: DataFrame, text: str = "text", model_file: str | None = None
             values = pa.array(np.concatenate(all_ids) if all_ids else np.empty(0, np.int32))
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, values), pa.array(same, pa.bool_())], ["ids", "round_trip"])
 
-    told = df.drop("ids", "round_trip").withColumn("__pieces", run(F.col(text)))
-    names = [F.col(c) for c in told.columns if c != "__pieces"]
-    out = [F.col("__pieces.ids").alias("ids")] + ([F.col("__pieces.round_trip").alias("round_trip")] if check else [])
-    return told.select(*names, *out)
+    told = df.select(whole(df).alias("doc"), run(F.col(text)).alias("told"))
+    new = ["ids", "round_trip"] if check else ["ids"]
+    return told.select(*[F.col(f"doc.`{c}`") for c in df.columns if c not in new], *[f"told.{c}" for c in new])
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
