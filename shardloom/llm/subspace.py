@@ -22,12 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import components, forest, read, settle
+from shardloom.llm.common import components, forest, read, settle, small_batches
 
 COSINE = 0.9
 BLOCKS = 4
 GRID = 2
-PART = 16_384
+PART = 65_536
 TILE = 1024
 SLACK = 1e-5
 ROW = "__row"
@@ -53,6 +53,7 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _rotate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, copies, dims, raw, turned): the vector as it is and its unit vector rotated, the same for all later tasks."""
     turns: dict[int, np.ndarray] = {}
     for rows in batches:
         if rows.empty:
@@ -61,7 +62,9 @@ def _rotate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for dims, own in rows.groupby(sizes, sort=False):
             if dims not in turns:
                 turns[dims] = np.linalg.qr(np.random.default_rng(dims).normal(size=(dims, dims)))[0]
-            raw = np.stack(own["vector"].to_numpy()).astype(np.float64)
+            raw = np.stack(own["vector"].to_numpy())
+            if raw.dtype != np.float32:
+                raw = raw.astype(np.float64)
             turned = (unit(raw) @ turns[dims]).astype(np.float32)
             yield pd.DataFrame({"node": own["node"], "copies": own["copies"], "dims": dims, "raw": [x.tobytes() for x in raw], "turned": [x.tobytes() for x in turned]})
 
@@ -102,46 +105,50 @@ def _pairs(cosine: float):
         dims, number = int(rows["dims"].iloc[0]), int(rows["number"].iloc[0])
         node, copies, home, side = (rows[c].to_numpy() for c in ("node", "copies", "home", "side"))
         turned = np.frombuffer(b"".join(rows["turned"]), np.float32).reshape(-1, dims)
-        raw = np.frombuffer(b"".join(rows["raw"]), np.float64).reshape(-1, dims)
+        raw = np.frombuffer(b"".join(rows["raw"]), np.float32 if len(rows["raw"].iloc[0]) == 4 * dims else np.float64).reshape(-1, dims)
         blocks = block_sizes(dims)
         budget = [(2 - 2 * cosine) * (b - a) / dims * (1 + SLACK) + SLACK for a, b in blocks]
         a, b = blocks[number]
         own = np.ascontiguousarray(turned[:, a:b])
-        square = (own * own).sum(1)
+        # |a|^2 - 2ab + |b|^2 as one product.
+        square, ones = (own * own).sum(1, keepdims=True), np.ones((len(own), 1), np.float32)
+        mine, theirs = np.hstack([own, square, ones]), np.hstack([-2 * own, ones, square])
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         links = np.zeros(len(node), np.int64)
         found_i, found_j = [], []
         units = unit(raw)
         both = bool((side != 2).any())
-        for p in range(0, len(left), TILE):
-            one = left[p : p + TILE]
-            for q in range(0, len(right), TILE):
-                two = right[q : q + TILE]
-                if not both and two[-1] <= one[0]:
-                    continue
-                apart = square[one][:, None] + square[two][None, :] - 2 * (own[one] @ own[two].T)
-                i, j = np.nonzero(apart <= budget[number] + SLACK)
-                i, j = one[i], two[j]
-                ok = (home[i] | home[j]) & (node[i] != node[j])
-                if not both:
-                    ok &= i < j
-                i, j = i[ok], j[ok]
-                if not len(i):
-                    continue
-                # The first block within its budget counts the pair; all tasks see the same numbers.
-                ok = np.ones(len(i), bool)
-                for k in range(number + 1):
-                    c, d = blocks[k]
-                    gap = turned[i, c:d].astype(np.float64) - turned[j, c:d].astype(np.float64)
-                    close = (gap * gap).sum(1) <= budget[k]
-                    ok &= close if k == number else ~close
-                i, j = i[ok], j[ok]
-                ok = (units[i] * units[j]).sum(1) >= cosine
-                i, j = i[ok], j[ok]
-                np.add.at(links, i, copies[j])
-                np.add.at(links, j, copies[i])
-                found_i.append(i)
-                found_j.append(j)
+        # Two vectors that only visit meet in a cell where one of them is at home.
+        tiles = [(left[home[left]], right)]
+        if both:
+            tiles.append((left[~home[left]], right[home[right]]))
+        bound = np.float32(budget[number] + SLACK)
+        for one, two in ((a[p : p + TILE], b[q : q + TILE]) for a, b in tiles for p in range(0, len(a), TILE) for q in range(0, len(b), TILE)):
+            close = mine[one] @ theirs[two].T <= bound
+            if not close.any():
+                continue
+            i, j = np.nonzero(close)
+            i, j = one[i], two[j]
+            ok = node[i] != node[j]
+            if not both:
+                ok &= ~home[j] | (i < j)
+            i, j = i[ok], j[ok]
+            if not len(i):
+                continue
+            # The first block within its budget counts the pair; all tasks see the same numbers.
+            ok = np.ones(len(i), bool)
+            for k in range(number + 1):
+                c, d = blocks[k]
+                gap = turned[i, c:d].astype(np.float64) - turned[j, c:d].astype(np.float64)
+                close = (gap * gap).sum(1) <= budget[k]
+                ok &= close if k == number else ~close
+            i, j = i[ok], j[ok]
+            ok = (units[i] * units[j]).sum(1) >= cosine
+            i, j = i[ok], j[ok]
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            found_i.append(i)
+            found_j.append(j)
         i = np.concatenate(found_i) if found_i else np.empty(0, int)
         j = np.concatenate(found_j) if found_j else np.empty(0, int)
         root = forest(i, j, node) if len(i) else node
@@ -172,6 +179,7 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     length. Rows equal in key and vector are one vector; keys that repeat with
     other vectors are vectors of their own; a null key counts as the smallest.
     """
+    small_batches(rows.sparkSession)
     named = rows.select(F.col(key).alias("key"), F.col(vector).alias("vector")).withColumn(ROW, F.xxhash64("key", "vector"))
     good = named.filter(usable(F.col("vector"))).dropDuplicates(["key", ROW])
     classes = good.groupBy("vector").agg(F.min(F.struct("key", ROW)).alias("first"), F.count("*").alias("copies"))
