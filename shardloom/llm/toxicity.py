@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
 Terms are whole words and word beginnings (languages that inflect share them).
-The terms that speak for a toxic label are chosen on labelled rows by chi
-squared; document frequencies come from all documents. Labelled examples with
+The terms that speak for a toxic label (its share among their documents is a
+multiple of the usual one, and chi squared is large) are chosen on labelled rows; document frequencies come from all documents. Labelled examples with
 equal term vectors are one entry of an inverted index whose entries lie in
 blocks; each term knows its largest weight per block. A query adds these up to a
 bound per block, visits blocks from the highest bound and stops when no bound
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import read
+from shardloom.llm.common import read, whole
 
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 2048
@@ -33,7 +33,8 @@ MIN_COUNT = 5
 MIN_CHI2 = 15.0
 PREFIXES = (3, 4, 5, 6)
 NEIGHBOURS = 8
-BLOCK = 32
+BLOCK = 128
+MIN_LIFT = 3.0
 THRESHOLD = 0.3
 MEMO = 400_000
 WORDS = re.compile(r"\w+")
@@ -196,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = M
     total = max(1, marked.count())
     share = min(1.0, max_examples / total)
     drawn = marked.filter(F.pmod(F.xxhash64(F.lit("example"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    examples = docs.select("doc_id", "text").join(drawn, "doc_id")
+    # Bounded by max_examples, so the texts stay where they are.
+    examples = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     counts = examples.mapInPandas(_partials, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
     size = drawn.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     n, pos = size.n, size.pos
@@ -206,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_examples: int = M
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     chi2 = n * F.pow(a * (neg - b) - b * (pos - a), 2) / ((a + b) * (n - a - b + 1e-9) * float(pos) * float(neg))
     chosen = (
-        counts.filter((a + b >= MIN_COUNT) & (a / pos > b / neg)).withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2)
+        counts.filter((a + b >= MIN_COUNT) & (a / (a + b) >= min(0.9, MIN_LIFT * pos / n))).withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2)
         .orderBy(F.desc("chi2"), "term").limit(max_terms)
     )
     terms = {r.term: i for i, r in enumerate(chosen.collect())}
@@ -285,22 +287,22 @@ def score(spark: SparkSession, model: Model, text: Column, evidence: int = 3) ->
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with a column ``__toxicity``; held-out rows teach nothing."""
+    """(doc, told): each row of ``docs`` as a struct, and its score; held-out rows teach nothing."""
     model = fit(docs.select("doc_id", "text"), labels, ~held_out(F.col("doc_id")))
-    return docs.withColumn("__toxicity", score(docs.sparkSession, model, F.col("text")))
+    return docs.select(whole(docs).alias("doc"), score(docs.sparkSession, model, F.col("text")).alias("told"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = scored(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    value = F.col("__toxicity")["score"]
+    value = F.col("told.score")
     return out.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), value.alias("score"), (value >= THRESHOLD).cast("int").alias("predicted"),
-        F.col("__toxicity")["nearest"].alias("nearest"),
-    )
+        "doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), value.alias("score"),
+        (value >= THRESHOLD).cast("int").alias("predicted"), "told.nearest",
+    )
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose score stays below the threshold, with their columns."""
     out = scored(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return out.filter(F.col("__toxicity")["score"] < THRESHOLD).select(*docs.columns)
+    return out.filter(F.col("told.score") < THRESHOLD).select("doc.*")
