@@ -102,11 +102,13 @@ def suffix_array(codes: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(step):  # the first codes fit one number
         key <<= bits
-        key[: n - k] |= np.where(left[: n - k] > k, small[k:], 0)
+        rest = max(0, n - k)
+        key[:rest] |= np.where(left[:rest] > k, small[k:], 0)
     while step < depth:
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
         key = rank * (int(rank.max()) + 1)
-        key[: n - step] += np.where(left[: n - step] > step, rank[step:], 0)
+        rest = max(0, n - step)
+        key[:rest] += np.where(left[:rest] > step, rank[step:], 0)
         step *= 2
     return np.argsort(key)
 
