@@ -15,7 +15,6 @@ from shardloom.functions.binary import little_endian, read_little_endian
 # (4), metadata as JSON, data.
 MAGIC = b"CKPT"
 VERSION = 1
-TYPES = ["full", "incremental", "optimizer_only", "model_only"]
 HEADER_BYTES = 38
 
 
@@ -36,6 +35,15 @@ def container(step: Column, epoch: Column, kind: Column, metadata: Column, data:
     )
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme; without one it belongs to the session's default file system."""
+    if "://" in path:
+        return path
+    files = spark._jvm.org.apache.hadoop.fs.FileSystem
+    base = files.getDefaultUri(spark._jsc.hadoopConfiguration()).toString()
+    return f"file://{path}" if base.startswith("file:") else base.rstrip("/") + path
+
+
 def encode_checkpoint(df: DataFrame, path: str) -> DataFrame:
     """Write one file per row of (name, content) below ``path``; returns receipts.
 
@@ -44,12 +52,14 @@ def encode_checkpoint(df: DataFrame, path: str) -> DataFrame:
     file. The receipts (name, size_bytes) are a table next to the files.
     """
 
+    place = qualified(df.sparkSession, path)
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
 
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        store, root = fs.FileSystem.from_uri(place)
         store.create_dir(f"{root}/data", recursive=True)
         for rows in batches:
             for name, content in zip(rows["name"], rows["content"]):
