@@ -4,7 +4,7 @@ Every document has the set of its five-word shingles and, drawn from it, a
 sketch of minhash values; two sets agree in a place of the sketch with the
 probability of their Jaccard similarity. A run splits all documents by the
 values of a few sampled places: a bucket holds documents that share a value on
-the chosen path. Buckets above a limit split again on freshly sampled places,
+the chosen path. Buckets above a limit split again on freshly sampled places
 each with probability 1 / (threshold x places), so similar pairs stay together
 on some path and others part. Small buckets are compared pair by pair on their
 sketches. Runs repeat until one more finds (almost) nothing new.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm import bits
-from shardloom.llm.common import components, forest, read, row_key, settle
+from shardloom.llm.common import components, forest, read, row_key, settle, small_batches, whole
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -37,10 +37,11 @@ SLOTS = 8  # places sampled at the top of a run
 RUN_LIMIT = 8
 RECALL = 0.999
 SMALL = 64
+TOGETHER = 16_384  # rows of a bucket that a task splits on by itself
 DEPTH = 8
 MARGIN = 0.2  # four standard deviations of the similarity that 64 places show
 BLOCK = 1024
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 ROW = "__row"
 U64 = np.uint64
 
@@ -100,7 +101,8 @@ def sketches(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
             h = hashes * a
             h ^= b
             h *= bits.MIX
-            out[some, k] = np.minimum.reduceat(h, starts[some]) >> U64(32)
+            # The smallest of many hashes is small: mixed again, its 32 bits tell it from others.
+            out[some, k] = bits.mixed(np.minimum.reduceat(h, starts[some])) >> U64(32)
     return out
 
 
@@ -135,83 +137,121 @@ def _slots(run: int, depth: int, path: np.ndarray) -> list[tuple[np.ndarray, np.
 
 
 def _split(run: int, depth: int):
-    """Rows (node, sketch, path) to their buckets one level down."""
+    """Rows (node, sketch, path) to their buckets one level down; below the top with their sketches."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, PLACES)
-            path = batch.column("path").to_numpy().astype(np.int64).view(U64)
-            node = batch.column("node").to_numpy()
-            nodes, keys = [], []
-            for rows, place in _slots(run, depth, path):
-                value = sketch[rows, place].astype(U64)
-                keys.append(bits.mixed(bits.mixed(path[rows] + value * bits.BASE) + place.astype(U64) + U64(run << 8)))
-                nodes.append(node[rows])
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys).view(np.int64))], ["node", "path"])
+            rows, path = _below(run, depth, batch.column("path").to_numpy().astype(np.int64).view(U64), sketch)
+            take = pa.array(rows)
+            columns = [batch.column("node").take(take), pa.array(path.view(np.int64))]
+            if depth:
+                columns.append(batch.column("sketch").take(take))
+            yield pa.RecordBatch.from_arrays(columns, ["node", "path", "sketch"][: len(columns)])
 
     return go
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Small buckets, sorted by path: edges (a, b) of a forest over the pairs whose sketches agree enough."""
+def _below(run: int, depth: int, path: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, path): the buckets one level down that rows with these paths fall into."""
+    rows, keys = [np.empty(0, np.int64)], [np.empty(0, U64)]
+    for own, place in _slots(run, depth, path):
+        value = sketch[own, place].astype(U64)
+        keys.append(bits.mixed(bits.mixed(path[own] + value * bits.BASE) + place.astype(U64) + U64(run << 8)))
+        rows.append(own)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _compare(run: int, depth: int):
+    """Buckets, sorted by path: edges (a, b) of a forest over the pairs whose sketches agree enough.
+
+    Buckets of more than SMALL rows split on here, level by level, as they do
+    between tasks while they are too large for one.
+    """
 
     def edges(path, node, sketch):
-        heads = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
-        sizes = np.diff(np.append(heads, len(path)))
-        left, right = [], []
-        for back in range(1, int(sizes.max(initial=1))):
-            later = np.arange(back, len(path))
-            later = later[path[later] == path[later - back]]
-            if not len(later):
+        path, row = path.view(U64), np.arange(len(node))
+        left, right, level = [], [], depth
+        while True:
+            order = np.argsort(path, kind="stable")
+            path, row = path[order], row[order]
+            heads = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+            many = np.repeat(np.diff(np.append(heads, len(path))), np.diff(np.append(heads, len(path))))
+            small = (many > 1) & (many <= SMALL)
+            own, at = path[small], row[small]
+            for back in range(1, int(many[small].max(initial=1))):
+                later = np.arange(back, len(own))
+                later = later[own[later] == own[later - back]]
+                agree = (sketch[at[later]] == sketch[at[later - back]]).mean(1)
+                good = later[agree >= SIMILARITY - MARGIN]
+                left.append(at[good - back])
+                right.append(at[good])
+            path, row, many = path[many > SMALL], row[many > SMALL], many[many > SMALL]
+            if not len(path):
+                break
+            if level == DEPTH:
+                # So many shared values leave hardly anything but near copies: a group, verified later.
+                new = np.concatenate([[True], path[1:] != path[:-1]])
+                left.append(row)
+                right.append(row[np.flatnonzero(new)][np.cumsum(new) - 1])
+                break
+            level += 1
+            kept, path = _below(run, level, path, sketch[row])
+            row = row[kept]
+            if not len(path):
                 break
-            agree = (sketch[later] == sketch[later - back]).mean(1)
-            good = later[agree >= SIMILARITY - MARGIN]
-            left.append(good - back)
-            right.append(good)
         if not left:
             return None
-        a, b = np.concatenate(left), np.concatenate(right)
-        pairs = np.unique(np.stack([node[a], node[b]], 1), axis=0)
-        pairs = np.sort(pairs, 1)
+        pairs = np.stack([node[np.concatenate(left)], node[np.concatenate(right)]], 1)
         names, at = np.unique(pairs, return_inverse=True)
+        if not len(names):
+            return None
         at = at.reshape(-1, 2)
         root = forest(at[:, 0], at[:, 1], names)
         return pa.RecordBatch.from_arrays([pa.array(names), pa.array(root)], ["a", "b"])
 
-    rest: list | None = None
-    for batch in batches:
-        own = [batch.column("path").to_numpy(), batch.column("node").to_numpy(), np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, PLACES)]
-        if rest is not None:
-            own = [np.concatenate([x, y]) for x, y in zip(rest, own)]
-        cut = int(np.searchsorted(own[0], own[0][-1], "left"))
-        rest = [x[cut:] for x in own]
-        if cut and (out := edges(*[x[:cut] for x in own])) is not None:
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list | None = None
+        for batch in batches:
+            own = [batch.column("path").to_numpy(), batch.column("node").to_numpy(), np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, PLACES)]
+            if rest is not None:
+                own = [np.concatenate([x, y]) for x, y in zip(rest, own)]
+            cut = int(np.searchsorted(own[0], own[0][-1], "left"))
+            rest = [x[cut:] for x in own]
+            if cut and (out := edges(*[x[:cut] for x in own])) is not None:
+                yield out
+        if rest is not None and len(rest[0]) and (out := edges(*rest)) is not None:
             yield out
-    if rest is not None and len(rest[0]) and (out := edges(*rest)) is not None:
-        yield out
 
+    return go
 
-def chosen_paths(classes: DataFrame, run: int) -> DataFrame:
-    """(a, b): edges among ``classes`` (node, sketch) that one run finds."""
+
+def chosen_paths(classes: DataFrame, run: int, groups: DataFrame | None = None) -> DataFrame:
+    """(a, b): edges among ``classes`` (node, sketch) that one run finds.
+
+    Buckets whose rows earlier runs have put into one of the ``groups`` (node,
+    component) cannot add anything and go no further.
+    """
     level = classes.withColumn("path", F.lit(0).cast("long"))
     found = None
     for depth in range(DEPTH + 1):
-        split = level.select("node", "sketch", "path").mapInArrow(_split(run, depth), "node long, path long")
-        if depth == 0:
-            split = settle(split, "paths")
-        else:
-            split = settle(split.distinct(), "paths")
+        # At the top few rows share a bucket, so sketches follow when that is known.
+        kind = "node long, path long, sketch binary" if depth else "node long, path long"
+        split = settle(level.select("node", "sketch", "path").mapInArrow(_split(run, depth), kind), "paths")
         sizes = split.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1")
-        full = settle(split.join(sizes, "path").join(classes, "node").select("node", "path", "n", "low", "sketch"), "buckets")
-        small = full.filter(F.col("n") <= SMALL).repartition("path").sortWithinPartitions("path")
-        edges = small.select("path", "node", "sketch").mapInArrow(_compare, "a long, b long")
+        full = split.join(sizes, "path")
+        if groups is not None and not depth:
+            known = full.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            mixed = known.groupBy("path").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
+            full = full.join(mixed.select("path"), "path", "left_semi")
+        full = settle((full if depth else full.join(classes, "node")).select("node", "path", "n", "low", "sketch"), "buckets")
+        fits = full.filter(F.col("n") <= TOGETHER).repartition("path").sortWithinPartitions("path")
+        edges = fits.select("path", "node", "sketch").mapInArrow(_compare(run, depth), "a long, b long")
         found = edges if found is None else found.union(edges)
-        level = full.filter(F.col("n") > SMALL)
+        level = full.filter(F.col("n") > TOGETHER)
         if level.isEmpty():
             break
     else:
-        # So many shared values leave hardly anything but near copies: they form a group, verified below.
         found = found.union(level.select(F.col("node").alias("a"), F.col("low").alias("b")))
     return settle(found.distinct(), "edges")
 
@@ -301,6 +341,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     numbers the groups, also where doc_ids repeat.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     lowered = docs.select("doc_id", ROW, F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     per = lowered.mapInArrow(_sketched, f"doc_id long, {ROW} long, class binary, size int, sketch binary")
     per = settle(per, "sketches")
@@ -318,7 +359,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = groups = None
     told = 0
     for run in range(RUN_LIMIT):
-        new = chosen_paths(sketched, run)
+        new = chosen_paths(sketched, run, groups)
         edges = new if edges is None else settle(edges.union(new).distinct(), "edges")
         groups = settle(components(edges), "groups")
         # Every group of n is n - 1 joins; a run that adds hardly any ends the search.
@@ -378,13 +419,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that repeat a doc_id the smallest row key stays; rows that repeat
     doc_id and text are one document. Documents without words all stay.
     """
-    keyed = docs.withColumn(ROW, row_key())
+    keyed = docs.select(whole(docs).alias("doc"), "doc_id", "text", row_key().alias(ROW))
     told = settle(near_duplicates(keyed.select("doc_id", ROW, "text")), "near")
     keep = told.groupBy("grp").agg(F.min(F.struct("doc_id", ROW)).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k")[ROW].alias("__r"))
     times = keyed.groupBy("doc_id", ROW).agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__i"), F.col(ROW).alias("__q"), F.lit(True).alias("__again"))
     keep = keep.join(times, (F.col("__r") == F.col("__q")) & F.col("__id").eqNullSafe(F.col("__i")), "left")
     keep = settle(keep.select("__id", "__r", F.coalesce("__again", F.lit(False)).alias("__again")), "keep")
     joined = keyed.join(keep, (F.col(ROW) == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    once = joined.filter(~F.col("__again")).select(*docs.columns)
-    again = joined.filter("__again").dropDuplicates(["doc_id", ROW]).select(*docs.columns)
-    return once.unionByName(again)
+    once = joined.filter(~F.col("__again")).select("doc.*")
+    again = joined.filter("__again").dropDuplicates(["doc_id", ROW]).select("doc.*")
+    return once.union(again)
