@@ -25,12 +25,12 @@ from shardloom.llm.common import read, settle, small_batches
 from shardloom.llm.subspace import usable
 
 NEIGHBOURS = 10
-EDGES = 32
+EDGES = 24
 OFFERS = 4
-BEAM = 256
+BEAM = 128
 GROUP = 128
 STARTS = 2
-STILL = 0.01
+STILL = 0.02
 MAX_ROUNDS = 12
 ENTRIES = 64
 TOGETHER = 1024
@@ -126,10 +126,13 @@ def descend(points: DataFrame, edges: int = EDGES, offers: int = OFFERS) -> Data
         found = rows.repartition("center").sortWithinPartitions("center").mapInPandas(_company(edges), joined)
         start = found if start is None else start.union(found)
     graph = settle(_merge(start.withColumn("fresh", F.lit(True)), edges), "graph")
-    for _ in range(MAX_ROUNDS):
+    for turn in range(MAX_ROUNDS):
         worst = graph.groupBy("u").agg(F.when(F.count("*") >= edges, F.max("d")).otherwise(float("inf")).cast("float").alias("worst"))
         members = points.join(worst.withColumnRenamed("u", "node"), "node")
-        both = graph.select(F.col("u").alias("center"), F.col("w").alias("node"), "fresh").union(graph.select("w", "u", "fresh"))
+        # Back edges are sampled anew each round, as the method has it: a hub has no end of them.
+        chance = Window.partitionBy("w").orderBy(F.desc("fresh"), F.xxhash64("u", F.lit(turn)))
+        back = graph.withColumn("r", F.row_number().over(chance)).filter(F.col("r") <= edges).select("w", "u", "fresh")
+        both = graph.select(F.col("u").alias("center"), F.col("w").alias("node"), "fresh").union(back)
         once = both.groupBy("center", "node").agg(F.max("fresh").alias("fresh"))
         met = once.join(members, "node").select("center", "node", "fresh", "worst", "half")
         found = met.repartition("center").sortWithinPartitions("center").mapInPandas(_company(offers), joined)
