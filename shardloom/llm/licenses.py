@@ -82,11 +82,13 @@ def scan(docs: DataFrame, text: str = "text", keep=("doc_id",), templates: dict[
     known = F.array(*[
         F.struct(F.lit(i).alias("place"), F.lit(len(s)).alias("n"), F.array(*[F.lit(b) for b in s]).alias("bigrams")) for i, s in enumerate(sets)
     ])
-    reach = (2 - dice) / dice
+    reach = (2 - dice) / dice * (1 + 1e-9)  # a bound, so rounding must not cut it short
     rows = docs.select(*[F.col(c) for c in keep], F.explode(units(F.col(text))).alias("u"))
-    rows = rows.select(*keep, "u.unit", "u.number", once(F.split(F.trim(F.translate("u.value", "\n", " ")), " +")).alias("words"))
+    rows = rows.select(*keep, "u.unit", "u.number", once(F.array_remove(F.split(F.translate("u.value", "\n", " "), " "), "")).alias("words"))
     low, high = min(map(len, sets)) / reach, max(map(len, sets)) * reach
-    rows = rows.filter(F.size("words") - 1 >= low)
+    # Every distinct word but the first ends a bigram of its own, so many words make many bigrams.
+    few = (F.size("words") - 1 <= high) | (F.size(F.array_distinct("words")) - 1 <= high)
+    rows = rows.filter((F.size("words") - 1 >= low) & few)
     pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))
     sized = rows.select(*keep, "unit", "number", once(F.array_distinct(pairs)).alias("own")).filter((F.size("own") >= low) & (F.size("own") <= high))
     near = F.filter(known, lambda t: (F.size("own") <= t["n"] * reach) & (t["n"] <= F.size("own") * reach))
