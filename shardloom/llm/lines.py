@@ -3,8 +3,8 @@
 Lines are compared over their UTF-8 bytes. Two lines within ``edits`` edits share
 one of ``edits + 1`` even segments of the shorter, hardly shifted. Each line
 gives the hashes of its own segments (index) and, for each shorter length in
-reach, of the few substrings that can match there (probes). Equal hashes make
-candidate pairs, which a banded bit-parallel edit distance verifies on the texts.
+reach, of the few substrings that can match there (probes). Lines that meet at equal
+hashes form groups, in which a banded bit-parallel edit distance verifies them.
 
 A line is removed if an equal line, or one within ``edits`` edits, stands
 earlier, by (doc_id, row, line number). Lines under ``min_bytes`` always stay.
@@ -22,12 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm import bits
-from shardloom.llm.common import read, row_key, settle
+from shardloom.llm.common import read, row_key, settle, small_batches, whole
 
 EDITS = 2
 MIN_BYTES = 24
-CHUNK = 4_000_000
-PAIRS_AT_ONCE = 1_000_000
+CHUNK = 1_000_000
+ROWS_AT_ONCE = 1_000_000
+CELLS = 2_000_000
+PART = 8192
+TOGETHER = 40_000
 ROW = "__row"
 
 
@@ -102,42 +105,35 @@ def _keys(edits: int, min_bytes: int, buckets: int):
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a < b) from index and probe entries with equal keys."""
-    kept = {0: [], 1: []}
+    """Groups (grp, line, role) of lines that meet at a key: 1 by their own segment, 2 by a probe, 3 by both.
+
+    A group is named by its members, so that lines that meet at several keys do
+    so once. Its size is the number of lines, never of pairs.
+    """
+    kept = []
     for batch in batches:
         for role, payload in zip(batch.column("role").to_pylist(), batch.column("payload")):
-            kept[role].append(bits.unpacked(payload.as_py(), ["<u8", "<i8"]))
-    if not kept[0] or not kept[1]:
+            key, line = bits.unpacked(payload.as_py(), ["<u8", "<i8"])
+            kept.append((key, line, np.full(len(key), role + 1, np.uint8)))
+    if not kept:
         return
-    table = {}
-    for role, parts in kept.items():
-        key, line = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        parts.clear()
-        order = np.lexsort((line, key))
-        key, line = key[order], line[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])])
-        table[role] = key[new], line[new]
-    (ikey, iline), (pkey, pline) = table[0], table[1]
-    low, high = np.searchsorted(ikey, pkey, "left"), np.searchsorted(ikey, pkey, "right")
-    # A line matches its own segments; only further entries count.
-    some = np.flatnonzero(high - low > 1)
-    alone = np.flatnonzero(high - low == 1)
-    alone = alone[iline[low[alone]] != pline[alone]]
-    hits = np.sort(np.concatenate([some, alone]))
-    low, many, pline = low[hits], (high - low)[hits], pline[hits]
-    ends = np.cumsum(many)
-    at = 0
-    while at < len(many):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
-        own, count = pline[at:to], many[at:to]
-        shift = np.repeat(low[at:to] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-        other = iline[np.arange(len(shift)) + shift]
-        own = np.repeat(own, count)
-        a, b = np.minimum(own, other), np.maximum(own, other)
-        pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-        at = to
+    key, line, role = (np.concatenate(x) for x in zip(*kept))
+    kept.clear()
+    order = np.lexsort((line, key))
+    key, line, role = key[order], line[order], role[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])])
+    role = np.bitwise_or.reduceat(role, np.flatnonzero(new))
+    key, line = key[new], line[new]
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    many = np.diff(np.append(heads, len(key)))
+    index = np.bitwise_or.reduceat(role, heads) == 3
+    useful = np.repeat((many > 1) & index, many)
+    name = np.add.reduceat(bits.mixed(line.view(np.uint64) * np.uint64(3) + role), heads)
+    grp = bits.mixed(np.repeat(name, many)).view(np.int64)
+    for low in range(0, len(grp), ROWS_AT_ONCE):
+        own = useful[low : low + ROWS_AT_ONCE]
+        columns = [x[low : low + ROWS_AT_ONCE][own] for x in (grp, line, role.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["grp", "line", "role"])
 
 
 def _places(min_bytes: int):
@@ -182,64 +178,146 @@ def within(a: list[bytes], b: list[bytes], edits: int) -> np.ndarray:
     """
     m, n = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     near = np.abs(m - n) <= edits
+    # What both begin and end with does not change their distance.
+    longest = int(max(m.max(), n.max(), 1))
+    x, y = (np.frombuffer(b"".join(t.ljust(longest, f) for t in side), np.uint8).reshape(-1, longest) for side, f in ((a, b"\0"), (b, b"\1")))
+    unlike = x != y
+    head = np.minimum(np.where(unlike.any(1), unlike.argmax(1), longest), np.minimum(m, n))
+    x, y = (np.frombuffer(b"".join(t.rjust(longest, f) for t in side), np.uint8).reshape(-1, longest) for side, f in ((a, b"\0"), (b, b"\1")))
+    unlike = x[:, ::-1] != y[:, ::-1]
+    tail = np.minimum(np.where(unlike.any(1), unlike.argmax(1), longest), np.minimum(m, n) - head)
+    a = [t[h : len(t) - e] for t, h, e in zip(a, head.tolist(), tail.tolist())]
+    b = [t[h : len(t) - e] for t, h, e in zip(b, head.tolist(), tail.tolist())]
+    m, n = m - head - tail, n - head - tail
     rows, columns = int(m.max()), int(n.max())
     pattern = np.full((len(a), rows + 2 * edits + columns + 2), 256, np.int16)  # row r stands at r + edits
     text = np.full((len(b), columns + 1), 257, np.int16)
-    for i, (x, y) in enumerate(zip(a, b)):
-        pattern[i, edits + 1 : edits + 1 + len(x)] = np.frombuffer(x, np.uint8)
-        text[i, 1 : 1 + len(y)] = np.frombuffer(y, np.uint8)
+    for i, (u, v) in enumerate(zip(a, b)):
+        pattern[i, edits + 1 : edits + 1 + len(u)] = np.frombuffer(u, np.uint8)
+        text[i, 1 : 1 + len(v)] = np.frombuffer(v, np.uint8)
+    pattern, text = np.ascontiguousarray(pattern.T), np.ascontiguousarray(text.T)
     one = np.uint64(1)
     up = np.full(len(a), (2**64 - 1) << (63 - edits) & (2**64 - 1), np.uint64)
     down = np.zeros(len(a), np.uint64)
-    distance = np.full(len(a), edits, np.int64)
+    distance = np.minimum(m, edits)
+    out, own = np.zeros(len(a), bool), np.arange(len(a))
     for j in range(1, columns + 1):
-        x = np.zeros(len(a), np.uint64)
+        x = np.zeros(len(own), np.uint16)
         for d in range(2 * edits + 1):
-            row = j + edits - d
-            x |= (pattern[:, row + edits] == text[:, j]).astype(np.uint64) << np.uint64(63 - d)
+            x = (x << np.uint16(1)) | (pattern[j + 2 * edits - d] == text[j])
+        x = x.astype(np.uint64) << np.uint64(63 - 2 * edits)
         zero = (((x & up) + up) ^ up) | x | down
         plus, minus = down | ~(zero | up), zero & up
         along = j > m - edits  # the last row is reached
-        bit = np.clip(63 - (j + edits - m), 0, 63).astype(np.uint64)
-        step = np.where(along, ((plus >> bit) & one).astype(np.int64) - ((minus >> bit) & one).astype(np.int64), 1 - (zero >> np.uint64(63)).astype(np.int64))
-        distance += np.where(j <= n, step, 0)
+        if along.any():
+            bit = np.clip(63 - (j + edits - m), 0, 63).astype(np.uint64)
+            last = ((plus >> bit) & one).astype(np.int64) - ((minus >> bit) & one).astype(np.int64)
+            step = np.where(along, last, 1 - (zero >> np.uint64(63)).astype(np.int64))
+            distance += np.where(j <= n, step, 0)
+        else:
+            distance += 1 - (zero >> np.uint64(63)).astype(np.int64)
         up, down = minus | ~((zero >> one) | plus), (zero >> one) & plus
-    return near & (distance <= edits)
+        if j % 16 == 0:
+            # The cells of a column differ by 2 x edits at most: so far off, none leads back.
+            going = (distance <= 3 * edits) & (j < n)
+            if going.mean() < 0.8:
+                ended = j >= n
+                out[own[ended]] = near[own[ended]] & (distance[ended] <= edits)
+                own, up, down, distance, m, n = (v[going] for v in (own, up, down, distance, m, n))
+                pattern, text = pattern[:, going], text[:, going]
+                if not len(own):
+                    return out
+    out[own] = near[own] & (distance <= edits)
+    return out
+
+
+def _late(edits: int):
+    """Groups in order of first place: the lines that stand within ``edits`` of an earlier one they meet.
+
+    All groups of a batch go on together: in round r each compares its r-th line
+    with the later ones not yet found late, so a group of near copies ends soon.
+    """
 
+    def compare(texts: list[bytes], one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+        good = np.zeros(len(one), bool)
+        order = np.argsort(size[two], kind="stable")
+        cells = np.maximum(1, size[two][order])
+        at = 0
+        while at < len(order):
+            # As many pairs as keep the padded texts small; lengths only grow along the order.
+            to = max(at + 1, at + int(np.searchsorted(cells[at:] * np.arange(1, len(order) - at + 1), CELLS, "right")))
+            own = order[at:to]
+            good[own] = within([texts[i] for i in one[own].tolist()], [texts[i] for i in two[own].tolist()], edits)
+            at = to
+        return good
+
+    def late(grp, role, side, line, texts):
+        size = np.array([len(t) for t in texts], np.int64)
+        start = np.concatenate([[True], grp[1:] != grp[:-1]])
+        head = np.maximum.accumulate(np.where(start, np.arange(len(grp)), 0))
+        open_ = np.flatnonzero(~start)
+        found = np.zeros(len(grp), bool)
+        step = 0
+        while len(open_):
+            pivot = head[open_] + step
+            meets = ((role[pivot] & 1) & (role[open_] >> 1)) | ((role[pivot] >> 1) & (role[open_] & 1)) == 1
+            meets &= (side[pivot] != side[open_]) | (side[open_] == 2)
+            meets &= np.abs(size[pivot] - size[open_]) <= edits
+            two = open_[meets]
+            found[two] = compare(texts, pivot[meets], two, size)
+            step += 1
+            open_ = open_[~found[open_] & (open_ - head[open_] > step)]
+        return np.unique(line[found])
 
-def _verify(edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        rows = 0
+
+        def emit(own):
+            return pa.RecordBatch.from_arrays([pa.array(late(*own))], ["line"])
+
         for batch in batches:
-            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            order = np.argsort([len(x) for x in right], kind="stable").tolist()
-            kept, at = [], 0
-            while at < len(order):
-                to = at + 1
-                while to < len(order) and (to - at) * len(right[order[to]]) < 2_000_000:
-                    to += 1
-                own = order[at:to]
-                good = within([left[i] for i in own], [right[i] for i in own], edits)
-                kept += [i for i, ok in zip(own, good) if ok]
-                at = to
-            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+            held.append([batch.column(c).to_numpy() for c in ("grp", "role", "side", "line")] + [batch.column("bytes").to_pylist()])
+            rows += batch.num_rows
+            if rows >= TOGETHER:
+                own = [np.concatenate([h[k] for h in held]) for k in range(4)] + [[t for h in held for t in h[4]]]
+                # The last group may go on in the next batch.
+                cut = int(np.flatnonzero(own[0] != own[0][-1])[-1]) + 1 if (own[0] != own[0][-1]).any() else 0
+                held, rows = [[x[cut:] for x in own]], 0
+                if cut:
+                    yield emit([x[:cut] for x in own])
+        own = [np.concatenate([h[k] for h in held]) for k in range(4)] + [[t for h in held for t in h[4]]] if held else None
+        if own is not None and len(own[0]):
+            yield emit(own)
 
     return run
 
 
-def line_links(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(a, b): ids of different lines at most ``edits`` edits apart, each pair once."""
+def late_lines(docs: DataFrame, first: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """(line): ids of the lines within ``edits`` edits of a different line that comes first earlier.
+
+    ``first`` has (line, first). Groups above ``PART`` lines meet part by part.
+    """
     spark = docs.sparkSession
     buckets = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select("text")
     keys = texts.mapInArrow(_keys(edits, min_bytes, buckets), "bucket int, role int, payload binary")
-    pairs = settle(keys.repartition(buckets, "bucket").select("role", "payload").mapInArrow(_match, "a long, b long").distinct(), "line-pairs")
-    ends = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
-    bitmap = spark.sparkContext.broadcast(bits.bit_map(ends, "line"))
+    groups = keys.repartition(buckets, "bucket").select("role", "payload").mapInArrow(_match, "grp long, line long, role int").distinct()
+    groups = settle(groups, "line-groups")
+    lines = groups.select("line").distinct()
+    bitmap = spark.sparkContext.broadcast(bits.bit_map(lines, "line"))
     found = texts.mapInArrow(_texts(bitmap, min_bytes), "line long, bytes binary").groupBy("line").agg(F.first("bytes").alias("bytes"))
-    found = settle(found.join(ends, "line", "left_semi"), "line-texts")
-    told = pairs.join(found.select(F.col("line").alias("a"), F.col("bytes").alias("left")), "a")
-    told = told.join(found.select(F.col("line").alias("b"), F.col("bytes").alias("right")), "b")
-    return told.select("a", "b", "left", "right").mapInArrow(_verify(edits), "a long, b long")
+    told = found.join(first.groupBy("line").agg(F.min("first").alias("first")), "line")
+    parts = groups.groupBy("grp").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    members = groups.join(parts, "grp").withColumn("own", F.pmod(F.xxhash64("line"), F.col("parts")))
+    meet = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
+        lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), F.when(F.col("own") < o, 0).when(F.col("own") > o, 1).otherwise(2).alias("side")),
+    )
+    members = members.select("grp", "line", "role", F.explode(meet).alias("p"))
+    members = members.select(F.when((F.col("p.i") == 0) & (F.col("p.j") == 0), F.col("grp")).otherwise(F.xxhash64("grp", "p.i", "p.j")).alias("grp"), "line", "role", "p.side")
+    met = members.join(told, "line").repartition("grp").sortWithinPartitions("grp", "first")
+    return met.select("grp", "role", "side", "line", "bytes").mapInArrow(_late(edits), "line long").distinct()
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -250,31 +328,26 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYT
     places = settle(docs.mapInArrow(_places(min_bytes), f"doc_id long, {ROW} long, number int, line long, check long"), "line-places")
     place = F.struct("doc_id", ROW, "number")
     first = settle(places.groupBy("line", "check").agg(F.min(place).alias("first")), "line-first")
-    links = settle(line_links(docs, edits, min_bytes), "line-links")
-    both = links.union(links.select("b", "a"))
-    ahead = (
-        both.join(first.select(F.col("line").alias("a"), F.col("first").alias("first_a")), "a")
-        .join(first.select(F.col("line").alias("b"), F.col("first").alias("first_b")), "b")
-        .filter("first_a < first_b").select(F.col("b").alias("line")).distinct().withColumn("late", F.lit(True))
-    )
-    whole = first.join(ahead, "line", "left").select("line", "check", "first", F.coalesce("late", F.lit(False)).alias("late"))
-    gone = places.join(whole, ["line", "check"]).filter(F.col("late") | (place != F.col("first")))
+    late = settle(late_lines(docs, first, edits, min_bytes), "line-late").withColumn("late", F.lit(True))
+    known = first.join(late, "line", "left").select("line", "check", "first", F.coalesce("late", F.lit(False)).alias("late"))
+    gone = places.join(known, ["line", "check"]).filter(F.col("late") | (place != F.col("first")))
     return gone.groupBy("doc_id", ROW).agg(F.array_sort(F.collect_set("number")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``; ``__removed`` holds their numbers, or null.
+    """(doc, text, removed): each row of ``docs`` as a struct, its text without repeated lines, their numbers or null.
 
     Rows equal in doc_id and text are one document and change alike. Null and
     empty texts, and documents without repeated lines, come back as they are.
     """
-    keyed = docs.withColumn(ROW, row_key())
+    small_batches(docs.sparkSession)
+    keyed = docs.select(whole(docs).alias("doc"), "doc_id", "text", row_key().alias(ROW))
     gone = repeated_lines(keyed.select("doc_id", ROW, "text"), edits, min_bytes)
-    gone = settle(gone, "lines-gone").select(F.col("doc_id").alias("__id"), F.col(ROW).alias("__r"), F.col("removed").alias("__removed"))
+    gone = settle(gone, "lines-gone").select(F.col("doc_id").alias("__id"), F.col(ROW).alias("__r"), "removed")
     joined = keyed.join(gone, (F.col(ROW) == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__removed", i))
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], "__removed")
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i))
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return joined.select("doc", text.alias("text"), "removed")
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,14 +355,15 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_lines(docs.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")))
     return out.select(
-        "doc_id", "n_lines", F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.coalesce("__removed", F.array().cast("array<int>")).alias("removed"),
-    )
+        "doc.doc_id", "doc.n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
+    )
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without repeated lines; one that has nothing left goes, as all of it stands elsewhere."""
     out = dedup_lines(docs)
-    out = out.filter(F.col("__removed").isNull() | (F.trim("text") != ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    out = out.filter(F.col("removed").isNull() | (F.trim("text") != ""))
+    chars = F.when(F.col("removed").isNull(), F.col("doc.n_chars")).otherwise(F.length("text")) if "n_chars" in docs.columns else None
+    new = {"text": F.col("text"), "n_chars": chars}
+    return out.select(*[(new[c] if new.get(c) is not None else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
