@@ -7,7 +7,7 @@ piece find all its places by binary search. The places are the edges (start,
 end, piece) of a graph over positions; sorted by position they are relaxed:
 in each unit the best-ranked edge that joins exactly two neighbouring symbols is
 taken, the leftmost among equals, until none is left. That is the merge order of
-the vocabulary, so ids equal those of the reference library on any text.
+the vocabulary, so ids equal those of the tokenizer library on any text.
 Characters without a piece fall back to bytes.
 """
 
