@@ -7,7 +7,9 @@ reach, of the few substrings that can match there (probes). Lines that meet at e
 hashes form groups, in which a banded bit-parallel edit distance verifies them.
 
 A line is removed if an equal line, or one within ``edits`` edits, stands
-earlier, by (doc_id, row, line number). Lines under ``min_bytes`` always stay.
+earlier, by (doc_id, row, line number). The edit join leaves lines under
+``min_bytes`` alone. ``equal_bytes`` is the floor for equal lines: the query and
+the stage set none, so every line counts that has more than ASCII white space.
 Only hashes are shuffled, packed per bucket; texts move for candidate lines alone.
 """
 
@@ -136,12 +138,18 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["grp", "line", "role"])
 
 
-def _places(min_bytes: int):
+def not_blank(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether each line has a byte other than ASCII white space."""
+    seen = np.concatenate([[0], np.cumsum(~np.isin(data, np.frombuffer(b" \t\n\v\f\r", np.uint8)))])
+    return seen[start + length] > seen[start]
+
+
+def _places(min_bytes: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = bits.text_bytes(batch.column("text"))
             row, number, start, length = cut_lines(data, offsets)
-            long = np.flatnonzero(length >= min_bytes)
+            long = np.flatnonzero((length >= min_bytes) | ((length >= least) & not_blank(data, start, length)))
             line, check = line_ids(data, start[long], length[long])
             take = pa.array(row[long])
             yield pa.RecordBatch.from_arrays(
@@ -320,12 +328,14 @@ def late_lines(docs: DataFrame, first: DataFrame, edits: int = EDITS, min_bytes:
     return met.select("grp", "role", "side", "line", "bytes").mapInArrow(_late(edits), "line long").distinct()
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES, equal_bytes: int | None = None) -> DataFrame:
     """(doc_id, __row, removed): the line numbers (from 0) to take out of each document that has any.
 
     ``docs`` has doc_id, __row and text. Null texts have one empty line.
+    Equal lines that are not blank go from ``equal_bytes`` bytes (by default ``min_bytes``).
     """
-    places = settle(docs.mapInArrow(_places(min_bytes), f"doc_id long, {ROW} long, number int, line long, check long"), "line-places")
+    least = min_bytes if equal_bytes is None else equal_bytes
+    places = settle(docs.mapInArrow(_places(min_bytes, least), f"doc_id long, {ROW} long, number int, line long, check long"), "line-places")
     place = F.struct("doc_id", ROW, "number")
     first = settle(places.groupBy("line", "check").agg(F.min(place).alias("first")), "line-first")
     late = settle(late_lines(docs, first, edits, min_bytes), "line-late").withColumn("late", F.lit(True))
@@ -334,7 +344,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYT
     return gone.groupBy("doc_id", ROW).agg(F.array_sort(F.collect_set("number")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES, equal_bytes: int | None = None) -> DataFrame:
     """(doc, text, removed): each row of ``docs`` as a struct, its text without repeated lines, their numbers or null.
 
     Rows equal in doc_id and text are one document and change alike. Null and
@@ -342,7 +352,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES)
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(whole(docs).alias("doc"), "doc_id", "text", row_key().alias(ROW))
-    gone = repeated_lines(keyed.select("doc_id", ROW, "text"), edits, min_bytes)
+    gone = repeated_lines(keyed.select("doc_id", ROW, "text"), edits, min_bytes, equal_bytes)
     gone = settle(gone, "lines-gone").select(F.col("doc_id").alias("__id"), F.col(ROW).alias("__r"), "removed")
     joined = keyed.join(gone, (F.col(ROW) == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i))
@@ -353,7 +363,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES)
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many go and which, and a digest of the text that stays."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")))
+    out = dedup_lines(docs.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")), equal_bytes=1)
     return out.select(
         "doc.doc_id", "doc.n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
@@ -362,7 +372,7 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without repeated lines; one that has nothing left goes, as all of it stands elsewhere."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, equal_bytes=1)
     out = out.filter(F.col("removed").isNull() | (F.trim("text") != ""))
     chars = F.when(F.col("removed").isNull(), F.col("doc.n_chars")).otherwise(F.length("text")) if "n_chars" in docs.columns else None
     new = {"text": F.col("text"), "n_chars": chars}

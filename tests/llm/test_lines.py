@@ -79,3 +79,9 @@ def test_lines_cut_like_split():
     for r, k, s, n in zip(row, number, start, length):
         got.setdefault(int(r), []).append(data[s : s + n].tobytes())
     assert [got[i] for i in range(len(texts))] == [t.split(b"\n") for t in texts]
+
+
+def test_short_equal_lines_go(spark):
+    rows = [(1, "All rights reserved.\n\n  \none", "a"), (2, "All rights reserved.\n\n  \ntwo", "a"), (3, "八个汉字\nthree", "b"), (4, "four\n八个汉字\nAll rights reserved!", "b")]
+    out = lines.without_repeats(spark, documents(spark, rows), "")
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, rows[0][1]), (2, "\n  \ntwo"), (3, rows[2][1]), (4, "four\nAll rights reserved!")]
