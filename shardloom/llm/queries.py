@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shardloom.llm import ann, chat, jaccard, licenses, lines, mixing, pieces, repeats, subspace, toxicity
+from shardloom.llm import ann, chat, jaccard, leaks, licenses, lines, middle, mixing, pieces, repeats, resample, subspace, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_lines": lines.op8_lines,
     "op9_subspace": subspace.op9_subspace,
     "op10_repeats": repeats.op10_repeats,
+    "op11_middle": middle.op11_middle,
+    "op12_resample": resample.op12_resample,
+    "op13_leaks": leaks.op13_leaks,
 }
-ORACLES = {"op1_chat": chat.OP1_SQL, "op2_licenses": licenses.OP2_SQL}
+ORACLES = {"op1_chat": chat.OP1_SQL, "op2_licenses": licenses.OP2_SQL, "op11_middle": middle.OP11_SQL, "op13_leaks": leaks.OP13_SQL}
