@@ -54,9 +54,14 @@ def port_reason(value: Column) -> Column:
     return F.when(~value.between(1, MAX_PORT), "port_out_of_range")
 
 
-def sanitized(text: Column) -> Column:
-    """Drop angle brackets and script schemes, trim, keep the first characters."""
-    return F.substring(trimmed(without_scheme(without_brackets(text))), 1, CLEAN_LENGTH)
+def cleaned(text: Column) -> Column:
+    """Drop angle brackets and script schemes and trim: the whole text."""
+    return trimmed(without_scheme(without_brackets(text)))
+
+
+def sanitized(text: Column, length: int = CLEAN_LENGTH) -> Column:
+    """The first ``length`` characters of a cleaned text, for display."""
+    return F.substring(cleaned(text), 1, length)
 
 
 def without_brackets(text: Column) -> Column:

@@ -100,7 +100,10 @@ def recovery_point(catalogue: DataFrame) -> DataFrame:
 
 
 def recovery_plan(catalogue: DataFrame, manifest: DataFrame, ranked: DataFrame, worker_id: str) -> DataFrame:
-    """The recovery point, where it is stored, and all shards of one worker at its epoch with their files' place."""
+    """The recovery point, where it is stored, and all shards of one worker at its epoch with their files' place.
+
+    ``manifest`` needs the ``path`` of each dataset, as ``dataset_manifest`` gives it.
+    """
     epoch = catalogue.agg(F.max_by("epoch", "step")).scalar()
     epochs = manifest.select("dataset_id", epoch.alias("epoch")).filter("epoch is not null")
     plan = shard_assignment(manifest, ranked, epochs).filter(F.col("worker_id") == worker_id)
@@ -122,8 +125,15 @@ def known_writes(status: DataFrame) -> DataFrame:
     return status.filter("known").drop("known")
 
 
-def unknown_writes(status: DataFrame) -> DataFrame:
-    return status.filter("not known").select("checkpoint_id", "status")
+def unknown_writes(events: DataFrame) -> DataFrame:
+    """Writes that were reported on before they were pending, or never were, with the last such report.
+
+    Those reports are what a service drops as unknown at the time they come.
+    """
+    at = F.struct("ts", "event_id")
+    starts = events.filter("status = 'Pending'").groupBy("checkpoint_id").agg(F.min(at).alias("started"))
+    early = events.join(starts, "checkpoint_id", "left").filter(F.col("started").isNull() | (at < F.col("started")))
+    return early.groupBy("checkpoint_id").agg(F.max_by("status", at).alias("status"))
 
 
 def pending_summary(status: DataFrame) -> DataFrame:

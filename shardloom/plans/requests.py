@@ -167,7 +167,7 @@ BLANKS = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{20
 
 @query(
     "sanitize_text",
-    "SELECT page_id, left(c, 1000) AS clean, a <> html AS had_brackets, b <> a AS had_scheme, c <> b AS was_trimmed, length(c) > 1000 AS was_cut FROM "
+    "SELECT page_id, left(c, 1000) AS clean, c AS cleaned, a <> html AS had_brackets, b <> a AS had_scheme, c <> b AS was_trimmed, length(c) > 1000 AS was_cut FROM "
     f"(SELECT *, regexp_replace(b, '^{BLANKS}+|{BLANKS}+$', '', 'g') AS c FROM (SELECT *, regexp_replace(a, 'javascript:', '', 'gi') AS b FROM "
     "(SELECT page_id, html, regexp_replace(html, '[<>]', '', 'g') AS a FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN '  JavaScript:' || url || chr(10) ELSE html END AS html FROM pages))))",
 )
@@ -179,6 +179,7 @@ def sanitize_text(spark, sf):
     return steps.select(
         "page_id",
         checks.sanitized(F.col("html")).alias("clean"),
+        F.col("c").alias("cleaned"),
         (F.col("a") != F.col("html")).alias("had_brackets"),
         (F.col("b") != F.col("a")).alias("had_scheme"),
         (F.col("c") != F.col("b")).alias("was_trimmed"),

@@ -56,14 +56,15 @@ def task_status(spark, sf):
 
 @query(
     "merge_tasks",
-    "SELECT 'task_' || o_orderkey AS task_id, CASE WHEN o_orderkey % 3 = 0 THEN 'own' ELSE 'other' END AS origin FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0",
+    "SELECT 'task_' || o_orderkey AS task_id, CASE WHEN o_orderstatus IS DISTINCT FROM 'O' THEN 'own' ELSE 'other' END AS origin FROM orders",
 )
 def merge_tasks(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     named = lambda df, origin: df.select(
         F.concat(F.lit("task_"), F.col("o_orderkey").cast("string")).alias("task_id"), F.lit(origin).alias("origin")
     )
-    own, others = orders.filter("o_orderkey % 3 = 0"), orders.filter("o_orderkey % 2 = 0")
+    # Each order is on one list at least, those in progress on both.
+    own, others = orders.filter("not (o_orderstatus <=> 'O')"), orders.filter("not (o_orderstatus <=> 'F')")
     return tk.merge_tasks(named(own, "own"), named(others, "other"))
 
 

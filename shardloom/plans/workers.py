@@ -207,7 +207,7 @@ def eviction_moves(spark, sf):
         "(SELECT CAST(sum(memory_used_bytes) AS BIGINT) FROM latest_v WHERE state <> 'ERROR') AS memory_used_bytes, "
         "count(*) AS gpu_readings, round(sum(abs(CAST(e.embedding[g] AS DOUBLE)) * 100), 6) AS utilization FROM "
         "(SELECT 'worker-' || (vec_id % 16) AS worker_id, arg_max(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) e "
-        "JOIN latest_v l ON l.worker_id = e.worker_id AND l.state <> 'ERROR', (SELECT unnest(range(1, 9)) AS g)",
+        "JOIN latest_v l ON l.worker_id = e.worker_id AND l.state <> 'ERROR', unnest(range(1, len(e.embedding) + 1)) AS u(g)",
     ),
 )
 def aggregate_resources(spark, sf):
@@ -226,7 +226,7 @@ def aggregate_resources(spark, sf):
     "gpu_stats",
     "SELECT 'worker-' || (vec_id % 16) AS worker_id, g - 1 AS gpu_id, count(*) AS readings, "
     "round(avg(abs(CAST(embedding[g] AS DOUBLE)) * 100), 6) AS avg_utilization, round(max(abs(CAST(embedding[g] AS DOUBLE)) * 50 + 30), 6) AS max_temperature, "
-    "round(sum(vec_id * 1024 + g - 1) / sum(vec_id * 4096 + 8), 6) AS memory_share FROM (SELECT *, unnest(range(1, 9)) AS g FROM embeddings) GROUP BY 1, 2",
+    "round(sum(vec_id * 1024 + g - 1) / sum(vec_id * 4096 + 8), 6) AS memory_share FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS g FROM embeddings) GROUP BY 1, 2",
 )
 def gpu_stats(spark, sf):
     return wk.gpu_stats(views.gpus(spark, sf))
@@ -237,12 +237,11 @@ def gpu_stats(spark, sf):
     with_views(
         "heartbeats_v",
         query="SELECT event_id, current_task, split_part(current_task, '_', 1) AS action, split_part(current_task, '_', 2) AS symbol "
-        "FROM heartbeats_v WHERE current_task IS NOT NULL",
+        "FROM heartbeats_v",
     ),
 )
 def parse_task(spark, sf):
-    beats = views.heartbeats(spark, sf).filter("current_task is not null")
-    return wk.parse_task(beats).select("event_id", "current_task", "action", "symbol")
+    return wk.parse_task(views.heartbeats(spark, sf)).select("event_id", "current_task", "action", "symbol")
 
 
 @query(

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 MAX_SMALL_ROWS = 100_000
 
+_local_roots: dict[str, str] = {}  # of local sessions without a folder of their own
+
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run below the shared folder of the cluster.
@@ -21,8 +23,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="shardloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _local_roots:
+            _local_roots[app] = tempfile.mkdtemp(prefix="shardloom-")
+        root = _local_roots[app]
     return f"{root.rstrip('/')}/shardloom/{name}-{uuid.uuid4().hex}"
 
 

@@ -124,7 +124,7 @@ def heartbeat_columns(events: DataFrame) -> DataFrame:
 
 
 def gpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight GPU readings per vector as an array of structs."""
+    """A GPU reading for each value of a vector, as an array of structs."""
     # DOUBLE arithmetic on the FLOAT values gives the same bits in every engine.
     reading = lambda x, i: F.struct(
         i.cast("bigint").alias("gpu_id"),
@@ -136,7 +136,7 @@ def gpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         "vec_id",
         worker_name(F.col("vec_id") % WORKERS).alias("worker_id"),
-        F.transform(F.slice("embedding", 1, 8), reading).alias("gpus"),
+        F.transform("embedding", reading).alias("gpus"),
     )
 
 

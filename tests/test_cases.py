@@ -8,11 +8,11 @@ from shardloom.operators import barriers, checkpoints, chunks, delivery, epochs,
 from shardloom.operators.tasks import search_logs
 from shardloom.session import small, work_folder
 
-MANIFEST = "dataset_id string, total_samples bigint, shard_size bigint, shuffle boolean, seed bigint, total_shards bigint"
+MANIFEST = "dataset_id string, total_samples bigint, shard_size bigint, shuffle boolean, seed bigint, total_shards bigint, path string"
 
 
 def dataset(spark, total, size, shuffle=True, name="d", seed=42):
-    return spark.createDataFrame([(name, total, size, shuffle, seed, -(-total // size))], MANIFEST)
+    return spark.createDataFrame([(name, total, size, shuffle, seed, -(-total // size), f"/data/{name}")], MANIFEST)
 
 
 def team(spark, n):
@@ -267,3 +267,24 @@ def test_sharded_files(spark):
     delivery.write_sharded(data, path)
     files = delivery.shard_files(spark, path).collect()
     assert len(files) == 11 and all(len(f.file_paths) == 1 for f in files) and sum(f.num_samples for f in files) == 1050
+
+
+class Settings:
+    """A session without ``spark.checkpoint.dir``."""
+
+    def __init__(self, spark, master):
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app-{master}"})()
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+
+def test_work_folder_without_a_setting(spark):
+    first, second = (work_folder(Settings(spark, "local[2]"), "x") for _ in range(2))
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+    with pytest.raises(ValueError):
+        work_folder(Settings(spark, "spark://host:7077"), "x")
+
+
+def test_reports_on_writes_that_were_not_pending(spark):
+    rows = [("a", "Completed", 1, 1), ("a", "Pending", 2, 2), ("a", "Failed", 3, 3), ("b", "InProgress", 1, 4), ("b", "Failed", 2, 5), ("c", "Pending", 1, 6), ("c", "Completed", 1, 7)]
+    events = spark.createDataFrame(rows, "checkpoint_id string, status string, ts int, event_id int")
+    assert {r.checkpoint_id: r.status for r in checkpoints.unknown_writes(events).collect()} == {"a": "Completed", "b": "Failed"}
