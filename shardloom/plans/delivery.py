@@ -11,6 +11,8 @@ from shardloom.plans.sql_views import with_views
 from shardloom.session import small, work_folder
 from shardloom.sources import views
 from shardloom.sources.tables import load, table
+from shardloom.sources.tfrecord import write_tfrecord
+from shardloom.sources.webdataset import write_webdataset
 
 LINE_KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 ASSIGN_SQL = "JOIN assignment_v a ON a.dataset_id = '{0}' AND a.shard_id = s.sample_idx // {1}"
@@ -260,3 +262,25 @@ def format_sources(spark, sf):
         F.min("o_orderdate").alias("first_date"),
         F.max("o_orderpriority").alias("last_priority"),
     )
+
+
+@query("tfrecord_source", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
+def tfrecord_source(spark, sf):
+    # All columns are written, five of six are decoded.
+    path = work_folder(spark, "orders-tfrecord")
+    write_tfrecord(table(spark, sf, "orders"), path)
+    schema = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate").schema
+    return load(spark, "tfrecord", path, schema, split_bytes=4 << 20)
+
+
+@query("webdataset_source", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def webdataset_source(spark, sf):
+    path = work_folder(spark, "documents-webdataset")
+    docs = table(spark, sf, "documents")
+    about = F.to_json(F.struct("doc_id", "lang", "source", "n_chars"))
+    samples = docs.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("key"), F.col("text").alias("txt"), about.alias("json"))
+    write_webdataset(samples, path, "key", ["txt", "json"])
+    read = load(spark, "webdataset", path, extensions=["txt", "json"], split_bytes=4 << 20)
+    notes = F.from_json(F.try_element_at("members", F.lit("json")).cast("string"), "doc_id bigint, lang string, source string, n_chars bigint")
+    text = F.try_element_at("members", F.lit("txt")).cast("string")
+    return read.select(text.alias("text"), notes.alias("n")).select("n.doc_id", "text", "n.lang", "n.source", "n.n_chars")

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from shardloom.sources.tfrecord import read_tfrecord
+from shardloom.sources.webdataset import read_webdataset
+
 # Declared format names and the Spark reader behind each.
 READERS = {
     "parquet": "parquet",
@@ -16,6 +19,8 @@ READERS = {
     "text": "text",
     "binary": "binaryFile",
 }
+# Formats read by this package.
+OWN = ("tfrecord", "webdataset")
 
 
 @dataclass(frozen=True)
@@ -32,11 +37,20 @@ class DatasetSpec:
 
 
 def load(spark: SparkSession, fmt: str, path: str, schema: StructType | str | None = None, **options) -> DataFrame:
-    """Read ``path`` in one of the declared formats; csv and json need a schema."""
-    if fmt not in READERS:
-        raise ValueError(f"unsupported format {fmt!r}; known: {', '.join(READERS)}")
-    if fmt in ("csv", "json", "jsonl") and schema is None:
+    """Read ``path`` in one of the declared formats; csv, json and tfrecord need a schema.
+
+    A schema of fewer columns than a tfrecord file has decodes only those;
+    ``extensions`` does the same for webdataset (see their modules for options).
+    """
+    if fmt not in READERS and fmt not in OWN:
+        raise ValueError(f"unsupported format {fmt!r}; known: {', '.join([*READERS, *OWN])}")
+    if fmt in ("csv", "json", "jsonl", "tfrecord") and schema is None:
         raise ValueError(f"{fmt} needs a schema; inferring one would read the data twice")
+    if fmt == "tfrecord":
+        own = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        return read_tfrecord(spark, path, own, **options)
+    if fmt == "webdataset":
+        return read_webdataset(spark, path, **options)
     reader = spark.read.format(READERS[fmt])
     if fmt == "csv":
         reader = reader.option("header", True)
