@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardloom.operators.fold import fold
-from shardloom.operators.ordered import SLICE, lay_out, ordered
+from shardloom.operators.buckets import token_buckets
+from shardloom.operators.ordered import ordered
 from shardloom.operators.workers import seconds_between
 
 # Kept latency samples, share of the percentile, idle limit of a
@@ -102,56 +100,6 @@ def requests_per_second(requests: DataFrame) -> DataFrame:
     )
 
 
-def spend_tokens(state, micros: list[int], rate: float, burst: int):
-    """Walk one client's requests through its bucket: (tokens, time mark).
-
-    Only whole tokens are added, and the mark moves only when one was added.
-    """
-    tokens, mark = state if state is not None else (burst, micros[0])
-    allowed, left, marks = [], [], []
-    for now in micros:
-        elapsed = max(now - mark, 0)
-        added = int((elapsed // 1_000_000 + (elapsed % 1_000_000 * 1000) / 1e9) * rate)
-        if added > 0:
-            tokens, mark = min(tokens + added, burst), now
-        allowed.append(tokens > 0)
-        tokens -= tokens > 0
-        left.append(tokens)
-        marks.append(mark)
-    return (tokens, mark), allowed, left, marks
-
-
-def token_buckets(
-    requests: DataFrame, rate: float, burst: int, buckets: DataFrame | None = None, slices: int | None = None
-) -> DataFrame:
-    """Every request with its decision and its client's bucket (tokens, mark) after it.
-
-    ``buckets`` (client, tokens_left, mark_us) continues from earlier requests.
-    """
-
-    def step(state, rows: pd.DataFrame):
-        state, allowed, left, marks = spend_tokens(state, rows["at_us"].tolist(), rate, burst)
-        arrays = (np.array(allowed, dtype=bool), np.array(left, dtype=np.int64), np.array(marks, dtype=np.int64))
-        return state, dict(zip(("allowed", "tokens_left", "mark_us"), arrays))
-
-    timed = requests.select("client", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
-    along = ["at_us", "event_id"]
-    laid = lay_out(timed, ["client", *along], slices)
-    linked = ordered(laid, ["client"], along, previous={"before": "at_us"}, laid_out=True)
-    # After so long a pause the bucket is full and its mark is the request itself.
-    full = F.col("at_us") - F.col("before") >= F.lit(int((burst + 1) / rate * 1_000_000) + 1)
-    marked = linked.withColumn("fills", F.coalesce(full, F.lit(False)).cast("bigint"))
-    cut = ordered(marked, ["client"], along, sums={"segment": "fills"}, laid_out=True).drop(SLICE, "before", "fills")
-    if buckets is not None:
-        # Only the first segment goes on from a kept bucket.
-        held = buckets.select("client", F.to_json(F.array("tokens_left", "mark_us")).alias("held"))
-        cut = cut.join(held, "client", "left").withColumn("bucket", F.when(F.col("segment") == 0, F.col("held"))).drop("held")
-    return fold(
-        cut, ["client"], along, step, "allowed boolean, tokens_left bigint, mark_us bigint",
-        segment="segment", start="bucket" if buckets is not None else None,
-    )
-
-
 def rate_limit(requests: DataFrame, rate: float, burst: int, slices: int | None = None) -> DataFrame:
     """Decide every request of (client, ts, event_id) by a token bucket per client."""
     decided = token_buckets(requests, rate, burst, slices=slices)

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.operators.requests import STALE_CLIENT_S, token_buckets
+from shardloom.operators.buckets import token_buckets
+from shardloom.operators.requests import STALE_CLIENT_S
 from shardloom.streaming.run import run_batches, table_version
 
 
