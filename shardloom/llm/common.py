@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,29 +63,54 @@ def forest(a: np.ndarray, b: np.ndarray, nodes: np.ndarray) -> np.ndarray:
             return nodes[label]
 
 
+CONTRACT = 2_000_000  # edges a task gathers before it contracts them
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of a task as stars: every node on the smallest it hangs together with there."""
+    held, many = [], 0
+
+    def stars() -> np.ndarray:
+        both = np.concatenate(held)
+        names, at = np.unique(both, return_inverse=True)
+        at = at.reshape(-1, 2)
+        root = forest(at[:, 0], at[:, 1], names)
+        return np.stack([names, root], 1)[names != root]
+
+    for batch in batches:
+        held.append(np.stack([batch.column(k).to_numpy() for k in range(2)], 1))
+        many += len(batch)
+        if many > CONTRACT:
+            held = [stars()]
+            many = len(held[0])
+            if many > CONTRACT // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0][:, 0]), pa.array(held[0][:, 1])], ["u", "v"])
+                held, many = [], 0
+    if many:
+        out = stars()
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["u", "v"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b: bigint); smallest node of each component.
 
-    Alternating star contractions: each round re-hangs all neighbours of a node
-    on the smallest of them, until every edge leads to a root. Edges stay
-    distributed. Self loops and repeated edges are allowed.
+    Each task contracts its edges to stars. In every round all edges of a node
+    meet in one task, which hangs its neighbours, and what else hangs together
+    there, on the smallest of them, until every edge leads to a root. Edges stay
+    distributed and a task hands on one edge for each node it has seen. Self
+    loops and repeated edges are allowed.
     """
-    pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    pairs = settle(pairs, "edges")
+    pairs = settle(pairs.mapInArrow(_contracted, "u long, v long").distinct(), "edges")
     for _ in range(max_rounds):
         ends = pairs.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent"))
         ends = ends.union(pairs.select("v", F.lit(0), F.lit(1)))
         odd = ends.groupBy("n").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
         if odd.filter("child > 1 or (child = 1 and parent = 1)").isEmpty():
             break
-        both = pairs.union(pairs.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
-        pairs = settle(small, "stars")
+        both = pairs.union(pairs.select("v", "u")).repartition("u")
+        pairs = settle(both.mapInArrow(_contracted, "u long, v long").distinct(), "stars")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(pairs.withColumnRenamed("u", "node"), "node", "left").select(

@@ -18,6 +18,7 @@ row: buckets hand on the edges of a spanning forest, blocks counts of links.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -330,6 +331,21 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield block(rest.sort_values("node", ignore_index=True))
 
 
+def _merged(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """``groups`` (node, component) with the further ``edges``, of which only those between groups count."""
+    own = groups.withColumnRenamed("node", "n")
+    for end in ("a", "b"):
+        lifted = edges.join(own, F.col(end) == F.col("n"), "left")
+        edges = lifted.withColumn(end, F.coalesce("component", end)).drop("n", "component")
+    between = settle(edges.filter("a <> b").distinct(), "between")
+    if between.isEmpty():
+        return groups
+    moved = settle(components(between).select(F.col("node").alias("from"), F.col("component").alias("to")), "moved")
+    old = groups.join(moved, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component"))
+    fresh = moved.join(groups, F.col("from") == F.col("node"), "left_anti").select(F.col("from").alias("node"), F.col("to").alias("component"))
+    return settle(old.union(fresh), "groups")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, __row, component, n_links, class_id, grp) for every distinct row of ``docs`` (doc_id, __row, text).
 
@@ -356,17 +372,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketched = per.join(classes.select(F.col("class").alias("c"), "class_id", F.col("node")), (F.col(ROW) == F.col("node")) & (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
     sketched = settle(sketched.select("node", "sketch").dropDuplicates(["node"]), "class-sketches")
 
-    edges = groups = None
-    told = 0
+    groups, told = None, 0
     for run in range(RUN_LIMIT):
         new = chosen_paths(sketched, run, groups)
-        edges = new if edges is None else settle(edges.union(new).distinct(), "edges")
-        groups = settle(components(edges), "groups")
+        groups = settle(components(new), "groups") if groups is None else _merged(groups, new)
         # Every group of n is n - 1 joins; a run that adds hardly any ends the search.
         joins = groups.filter("node <> component").count()
-        if run and joins - told <= (1 - RECALL) * joins or not joins:
+        added, told = joins - told, joins
+        if run and added <= (1 - RECALL) * joins or not joins:
             break
-        told = joins
+    else:
+        warnings.warn(f"near duplicates: run {RUN_LIMIT} still added {added} of {joins} joins", stacklevel=2)
 
     grouped = groups.groupBy("component").agg(F.count("*").alias("n"))
     members = groups.join(grouped, "component").join(classes, "node")
