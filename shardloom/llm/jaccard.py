@@ -172,7 +172,7 @@ def _compare(run: int, depth: int):
 
     def edges(path, node, sketch):
         path, row = path.view(U64), np.arange(len(node))
-        left, right, level = [], [], depth
+        left, right, sure, level = [], [], [], depth
         while True:
             order = np.argsort(path, kind="stable")
             path, row = path[order], row[order]
@@ -187,6 +187,7 @@ def _compare(run: int, depth: int):
                 good = later[agree >= SIMILARITY - MARGIN]
                 left.append(at[good - back])
                 right.append(at[good])
+                sure.append(agree[agree >= SIMILARITY - MARGIN] >= SIMILARITY)
             path, row, many = path[many > SMALL], row[many > SMALL], many[many > SMALL]
             if not len(path):
                 break
@@ -195,6 +196,7 @@ def _compare(run: int, depth: int):
                 new = np.concatenate([[True], path[1:] != path[:-1]])
                 left.append(row)
                 right.append(row[np.flatnonzero(new)][np.cumsum(new) - 1])
+                sure.append(np.ones(len(row), bool))
                 break
             level += 1
             kept, path = _below(run, level, path, sketch[row])
@@ -207,9 +209,12 @@ def _compare(run: int, depth: int):
         names, at = np.unique(pairs, return_inverse=True)
         if not len(names):
             return None
-        at = at.reshape(-1, 2)
-        root = forest(at[:, 0], at[:, 1], names)
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(root)], ["a", "b"])
+        at, strong = at.reshape(-1, 2), np.concatenate(sure)
+        root, near = forest(at[:, 0], at[:, 1], names), forest(at[strong, 0], at[strong, 1], names)
+        # Stars of the likely links, and edges from their roots for the rest.
+        hung, rest = names != near, (names == near) & (names != root)
+        a, b = np.concatenate([names[hung], names[rest]]), np.concatenate([near[hung], root[rest]])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) < hung.sum())], ["a", "b", "likely"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list | None = None
@@ -228,7 +233,9 @@ def _compare(run: int, depth: int):
 
 
 def chosen_paths(classes: DataFrame, run: int, groups: DataFrame | None = None) -> DataFrame:
-    """(a, b): edges among ``classes`` (node, sketch) that one run finds.
+    """(a, b, likely): edges among ``classes`` (node, sketch) that one run finds.
+
+    ``likely`` ones link sketches that agree in as many places as similar sets do.
 
     Buckets whose rows earlier runs have put into one of the ``groups`` (node,
     component) cannot add anything and go no further.
@@ -247,13 +254,13 @@ def chosen_paths(classes: DataFrame, run: int, groups: DataFrame | None = None)
             full = full.join(mixed.select("path"), "path", "left_semi")
         full = settle((full if depth else full.join(classes, "node")).select("node", "path", "n", "low", "sketch"), "buckets")
         fits = full.filter(F.col("n") <= TOGETHER).repartition("path").sortWithinPartitions("path")
-        edges = fits.select("path", "node", "sketch").mapInArrow(_compare(run, depth), "a long, b long")
+        edges = fits.select("path", "node", "sketch").mapInArrow(_compare(run, depth), "a long, b long, likely boolean")
         found = edges if found is None else found.union(edges)
         level = full.filter(F.col("n") > TOGETHER)
         if level.isEmpty():
             break
     else:
-        found = found.union(level.select(F.col("node").alias("a"), F.col("low").alias("b")))
+        found = found.union(level.select(F.col("node").alias("a"), F.col("low").alias("b"), F.lit(True).alias("likely")))
     return settle(found.distinct(), "edges")
 
 
@@ -331,19 +338,22 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield block(rest.sort_values("node", ignore_index=True))
 
 
-def _merged(groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """``groups`` (node, component) with the further ``edges``, of which only those between groups count."""
+def _merged(groups: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """``groups`` (node, component) with the further ``edges``, and how many pairs of groups likely links join.
+
+    Edges inside a group do not count.
+    """
     own = groups.withColumnRenamed("node", "n")
     for end in ("a", "b"):
         lifted = edges.join(own, F.col(end) == F.col("n"), "left")
         edges = lifted.withColumn(end, F.coalesce("component", end)).drop("n", "component")
-    between = settle(edges.filter("a <> b").distinct(), "between")
+    between = settle(edges.filter("a <> b").groupBy("a", "b").agg(F.max("likely").alias("likely")), "between")
     if between.isEmpty():
-        return groups
+        return groups, 0
     moved = settle(components(between).select(F.col("node").alias("from"), F.col("component").alias("to")), "moved")
     old = groups.join(moved, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component"))
     fresh = moved.join(groups, F.col("from") == F.col("node"), "left_anti").select(F.col("from").alias("node"), F.col("to").alias("component"))
-    return settle(old.union(fresh), "groups")
+    return settle(old.union(fresh), "groups"), between.filter("likely").count()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -372,14 +382,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketched = per.join(classes.select(F.col("class").alias("c"), "class_id", F.col("node")), (F.col(ROW) == F.col("node")) & (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
     sketched = settle(sketched.select("node", "sketch").dropDuplicates(["node"]), "class-sketches")
 
-    groups, told = None, 0
-    for run in range(RUN_LIMIT):
-        new = chosen_paths(sketched, run, groups)
-        groups = settle(components(new), "groups") if groups is None else _merged(groups, new)
-        # Every group of n is n - 1 joins; a run that adds hardly any ends the search.
-        joins = groups.filter("node <> component").count()
-        added, told = joins - told, joins
-        if run and added <= (1 - RECALL) * joins or not joins:
+    # What a run adds is judged by likely links: sets that only share a common
+    # passage join by chance in every run and are told apart when verified.
+    new = chosen_paths(sketched, 0)
+    groups, joins = settle(components(new), "groups"), new.filter("likely").select("a").distinct().count()
+    for run in range(1, RUN_LIMIT):
+        groups, added = _merged(groups, chosen_paths(sketched, run, groups))
+        joins += added
+        if added <= (1 - RECALL) * joins:
             break
     else:
         warnings.warn(f"near duplicates: run {RUN_LIMIT} still added {added} of {joins} joins", stacklevel=2)
