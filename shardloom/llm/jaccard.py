@@ -34,10 +34,11 @@ from shardloom.llm.common import components, forest, read, row_key, settle, smal
 WORDS = 5
 SIMILARITY = 0.8
 PLACES = 64
-SLOTS = 8  # places sampled at the top of a run
+SLOTS = 16  # paths at the top of a run, of two places each
+FIRST = 2
 RUN_LIMIT = 8
 RECALL = 0.999
-SMALL = 64
+SMALL = 512
 TOGETHER = 16_384  # rows of a bucket that a task splits on by itself
 DEPTH = 8
 MARGIN = 0.2  # four standard deviations of the similarity that 64 places show
@@ -124,16 +125,19 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slots(run: int, depth: int, path: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(rows, place) choices for rows with these path hashes: at the top SLOTS places, below each place by chance."""
+    """(rows, places) choices for rows with these path hashes: at the top SLOTS pairs of places, below each place by chance.
+
+    Two places at once keep apart most texts that only share a common passage.
+    """
     if depth == 0:
-        chosen = np.random.default_rng(1000 + run).permutation(PLACES)[:SLOTS]
-        return [(np.arange(len(path)), np.full(len(path), p)) for p in chosen]
+        chosen = np.random.default_rng(1000 + run).permutation(PLACES)[: SLOTS * FIRST].reshape(SLOTS, FIRST)
+        return [(np.arange(len(path)), places) for places in chosen]
     bar = U64(int(2**64 / (SIMILARITY * PLACES)))
     out = []
     for p in range(PLACES):
         rows = np.flatnonzero(bits.mixed(path + U64((p + 1) * int(bits.BASE) % 2**64)) < bar)
         if len(rows):
-            out.append((rows, np.full(len(rows), p)))
+            out.append((rows, np.array([p])))
     return out
 
 
@@ -156,9 +160,11 @@ def _split(run: int, depth: int):
 def _below(run: int, depth: int, path: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows, path): the buckets one level down that rows with these paths fall into."""
     rows, keys = [np.empty(0, np.int64)], [np.empty(0, U64)]
-    for own, place in _slots(run, depth, path):
-        value = sketch[own, place].astype(U64)
-        keys.append(bits.mixed(bits.mixed(path[own] + value * bits.BASE) + place.astype(U64) + U64(run << 8)))
+    for own, places in _slots(run, depth, path):
+        key = path[own]
+        for place in places:
+            key = bits.mixed(bits.mixed(key + sketch[own, place].astype(U64) * bits.BASE) + U64(int(place) + (run << 8)))
+        keys.append(key)
         rows.append(own)
     return np.concatenate(rows), np.concatenate(keys)
 
