@@ -38,7 +38,7 @@ SLOTS = 16  # paths at the top of a run, of two places each
 FIRST = 2
 RUN_LIMIT = 8
 RECALL = 0.999
-SMALL = 512
+SMALL = 4096  # rows of a bucket compared pair by pair: half a second at most
 TOGETHER = 16_384  # rows of a bucket that a task splits on by itself
 DEPTH = 8
 MARGIN = 0.2  # four standard deviations of the similarity that 64 places show
