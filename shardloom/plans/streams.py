@@ -77,7 +77,7 @@ def stream_sessions(spark, sf):
 )
 def stream_barriers(spark, sf):
     calls = views.arrival_columns(stream(spark, sf, "events"))
-    return sa.stream_barriers(calls, views.WORKERS, work_folder(spark, "barriers"))
+    return run_available_now(sa.stream_barriers(calls, views.WORKERS), "append", work_folder(spark, "barriers")).drop("batch")
 
 
 @query("stream_dedup", with_views("arrivals_v", query="SELECT DISTINCT barrier_id, worker_id FROM arrivals_v"))
@@ -89,7 +89,7 @@ def stream_dedup(spark, sf):
 @query("stream_rate_limit", f"SELECT client, event_id, allowed, tokens_left FROM ({ORACLES['rate_limit']})")
 def stream_rate_limit(spark, sf):
     calls = views.request_columns(stream(spark, sf, "events"))
-    return sr.stream_rate_limit(calls, RATE, BURST, work_folder(spark, "limit"))
+    return run_available_now(sr.stream_rate_limit(calls, RATE, BURST), "append", work_folder(spark, "limit")).drop("batch")
 
 
 def request_windows(spark, sf, width, slide=None):

@@ -2,48 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from shardloom.operators.ordered import ordered
-from shardloom.session import small
-from shardloom.streaming.run import run_batches, table_version
+from shardloom.streaming.run import prepare
 
 
-def stream_barriers(arrivals: DataFrame, expected: int, folder: str, slices: int | None = None) -> DataFrame:
-    """Arrival order and generation of every call, numbered as batches come in.
+class Calls(StatefulProcessor):
+    """Numbers the calls at one barrier; the state is how many there were."""
 
-    Calls of one batch are ordered by time; later batches continue the count, as
-    a service that stamps calls on arrival does. Numbering uses the sliced batch
-    operator, so a barrier with most of the calls still runs in many tasks. The
-    carried state is one count per barrier and version, written with the batch.
-    """
-    spark = arrivals.sparkSession
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        before = table_version(spark, folder, "counts", number - 1)
-        placed = ordered(batch, ["barrier_id"], ["ts", "event_id"], position="place", slices=slices)
-        counts = batch.groupBy("barrier_id").agg(F.count(F.lit(1)).alias("calls"))
-        if before is not None:
-            counts = counts.unionByName(before).groupBy("barrier_id").agg(F.sum("calls").alias("calls"))
-            placed = placed.join(small(before), "barrier_id", "left")
-            placed = placed.withColumn("place", F.col("place") + F.coalesce("calls", F.lit(0))).drop("calls")
-        numbered = placed.select(
-            "barrier_id",
-            "worker_id",
-            "ts",
-            "event_id",
-            F.floor(F.col("place") / expected).cast("bigint").alias("generation"),
-            (F.col("place") % expected + 1).alias("arrival_order"),
+    def __init__(self, expected: int):
+        self.expected = expected
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.calls = handle.getValueState("calls", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(rows).sort_values(["at_us", "event_id"], ignore_index=True)
+        before = self.calls.get()[0] if self.calls.exists() else 0
+        place = before + np.arange(len(batch))
+        self.calls.update((before + len(batch),))
+        yield batch[["barrier_id", "worker_id", "at_us", "event_id"]].astype({"barrier_id": object, "worker_id": object}).assign(
+            generation=place // self.expected, arrival_order=place % self.expected + 1
         )
-        released = numbered.withColumn("releases", F.col("arrival_order") == expected)
-        released.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-        counts.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
-        batch.unpersist()
 
-    run_batches(arrivals, "append", folder, write)
-    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*").drop("batch")
+    def close(self) -> None:
+        pass
+
+
+def stream_barriers(arrivals: DataFrame, expected: int) -> DataFrame:
+    """Arrival order and generation of every call, numbered as batches come in (append mode).
+
+    Calls of one batch are ordered by time; later batches continue the count, as
+    a service that stamps calls on arrival does. The count is Spark state per
+    barrier. The calls at a barrier in one batch meet in one task, as narrow
+    rows; the limit of the source on a batch bounds them.
+    """
+    prepare(arrivals.sparkSession)
+    kind = dict(arrivals.dtypes)["ts"]
+    slim = arrivals.select("barrier_id", "worker_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "event_id")
+    numbered = slim.groupBy("barrier_id").transformWithStateInPandas(
+        statefulProcessor=Calls(expected),
+        outputStructType="barrier_id string, worker_id string, at_us bigint, event_id bigint, generation bigint, arrival_order bigint",
+        outputMode="Append",
+        timeMode="None",
+    )
+    return numbered.select(
+        "barrier_id",
+        "worker_id",
+        F.timestamp_micros("at_us").cast(kind).alias("ts"),
+        "event_id",
+        "generation",
+        "arrival_order",
+        (F.col("arrival_order") == expected).alias("releases"),
+    )
 
 
 def stream_dedup(arrivals: DataFrame) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from shardloom.operators.buckets import token_buckets
-from shardloom.operators.requests import STALE_CLIENT_S
-from shardloom.streaming.run import run_batches, table_version
+from shardloom.operators.buckets import decide, pause_for_one
+from shardloom.streaming.run import prepare
 
 
 def stream_request_windows(requests: DataFrame, width: str = "1 minute", slide: str | None = None) -> DataFrame:
@@ -23,32 +26,53 @@ def stream_request_windows(requests: DataFrame, width: str = "1 minute", slide:
     return per.select(F.col("w.start").alias("window_start"), "method", "requests", "errors", "max_latency_us")
 
 
-def stream_rate_limit(
-    requests: DataFrame, rate: float, burst: int, folder: str, idle_s: int = STALE_CLIENT_S, slices: int | None = None
-) -> DataFrame:
-    """Decide each request of (client, ts, event_id) as batches come in.
+class Bucket(StatefulProcessor):
+    """A client's token bucket, carried from batch to batch."""
 
-    A batch goes through the sliced fold, so a client with most of the requests
-    still runs in many tasks. Its buckets are a table per version, written with
-    the batch. A bucket goes away after ``idle_s`` without requests, but not
-    before it would be full again, so no decision changes.
+    def __init__(self, rate: float, burst: int, idle_s: int | None):
+        self.rate, self.burst, self.need = rate, burst, pause_for_one(rate)
+        # By then an idle bucket is full, so dropping it changes no decision.
+        self.keep_ms = None if idle_s is None else max(idle_s, math.ceil((burst + 1) / rate)) * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.bucket = handle.getValueState("bucket", "tokens bigint, mark bigint", self.keep_ms)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        first = initialState.iloc[0]
+        self.bucket.update((int(first["tokens_left"]), int(first["mark_us"])))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        calls = pd.concat(rows)[["event_id", "at_us"]].sort_values(["at_us", "event_id"])
+        at = calls["at_us"].to_numpy()
+        tokens, mark = self.bucket.get() if self.bucket.exists() else (self.burst, int(at[0]))
+        held = np.array([tokens]), np.array([mark])
+        allowed, left, marks = decide(at, np.array([0]), *held, self.need, self.rate, self.burst)
+        self.bucket.update((int(left[-1]), int(marks[-1])))
+        client = pd.Series([key[0]] * len(at), dtype=object)
+        yield pd.DataFrame({"client": client, "event_id": calls["event_id"].to_numpy(), "allowed": allowed, "tokens_left": left})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_rate_limit(requests: DataFrame, rate: float, burst: int, idle_s: int | None = None, buckets: DataFrame | None = None) -> DataFrame:
+    """Decide each request of (client, ts, event_id) as batches come in (append mode).
+
+    Buckets are Spark state per client. With ``idle_s`` one goes away after so
+    long without requests, and not before it would be full again, by the clock of
+    the cluster: for streams that keep running (the service drops
+    them after 300 s), as a run over what is available would wait for its end.
+    ``buckets`` (client, tokens_left, mark_us) are there from the start. The
+    requests of a client in one batch meet in one task, as narrow rows decided
+    by arrays; the limit of the source on a batch bounds them.
     """
-    spark = requests.sparkSession
-    idle_us = max(idle_s, math.ceil((burst + 1) / rate)) * 1_000_000
-
-    def write(batch: DataFrame, number: int) -> None:
-        before = table_version(spark, folder, "buckets", number - 1)
-        decided = token_buckets(batch, rate, burst, before, slices)
-        decided.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-        written = table_version(spark, folder, "out", number)
-        last = F.max_by(F.struct("tokens_left", "mark_us", "at_us"), F.struct("at_us", "event_id"))
-        buckets = written.groupBy("client").agg(last.alias("b")).select("client", "b.*")
-        if before is not None:
-            buckets = buckets.unionByName(before.join(buckets.select("client"), "client", "left_anti"))
-        newest = written.agg(F.max("at_us")).scalar()
-        live = buckets.filter(F.col("at_us") >= newest - F.lit(idle_us))
-        live.write.mode("overwrite").parquet(f"{folder}/buckets/batch={number}")
-
-    run_batches(requests, "append", folder, write)
-    decided = spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*")
-    return decided.select("client", "event_id", "allowed", "tokens_left")
+    prepare(requests.sparkSession)
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us")
+    kind = dict(requests.dtypes)["client"]
+    return requests.select("client", F.col("event_id").cast("bigint").alias("event_id"), at).groupBy("client").transformWithStateInPandas(
+        statefulProcessor=Bucket(rate, burst, idle_s),
+        outputStructType=f"client {kind}, event_id bigint, allowed boolean, tokens_left bigint",
+        outputMode="Append",
+        timeMode="None" if idle_s is None else "ProcessingTime",
+        initialState=None if buckets is None else buckets.select("client", "tokens_left", "mark_us").groupBy("client"),
+    )

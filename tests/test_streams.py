@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shardloom.operators import barriers, checkpoints, requests, workers
+from shardloom.operators.buckets import token_buckets
 from shardloom.session import work_folder
 from shardloom.sources import views
 from shardloom.sources.tables import table
@@ -45,18 +46,32 @@ def test_latest_heartbeat(spark, parts):
 
 def test_barriers_continue_over_batches(spark, parts):
     live = views.arrival_columns(stream(spark, parts, "events"))
-    out = arrivals.stream_barriers(live, 16, work_folder(spark, "t"), slices=6)
+    out = run_available_now(arrivals.stream_barriers(live, 16), "append", work_folder(spark, "t"))
+    assert out.select("batch").distinct().count() == 3
     batch = barriers.barrier_arrivals(views.arrivals(spark, SF_DIR), 16)
-    columns = ["barrier_id", "worker_id", "event_id", "generation", "arrival_order"]
+    columns = ["barrier_id", "worker_id", "ts", "event_id", "generation", "arrival_order"]
     assert rows(out.select(columns)) == rows(batch.select(columns))
 
 
 def test_rate_limit(spark, parts):
     live = views.request_columns(stream(spark, parts, "events"))
     batch = requests.rate_limit(views.requests(spark, SF_DIR), 1 / 14400, 3).drop("retry_after_s")
-    for size in (None, 60):
-        out = stream_requests.stream_rate_limit(live, 1 / 14400, 3, work_folder(spark, "t"), slices=size)
-        assert rows(out) == rows(batch)
+    out = run_available_now(stream_requests.stream_rate_limit(live, 1 / 14400, 3), "append", work_folder(spark, "t"))
+    assert out.select("batch").distinct().count() == 3
+    assert rows(out.drop("batch")) == rows(batch)
+
+
+def test_rate_limit_goes_on_after_a_halt_and_from_given_buckets(spark, parts):
+    events = table(spark, SF_DIR, "events")
+    arrived, done = work_folder(spark, "arrived"), work_folder(spark, "t")
+    held = spark.range(40).select(F.col("id").alias("client"), F.lit(1).cast("bigint").alias("tokens_left"), F.lit(0).cast("bigint").alias("mark_us"))
+    for low, high in ((0, 400), (400, 10**9), (0, 0)):
+        events.filter(f"event_id >= {low} and event_id < {high}").coalesce(1).write.mode("append").parquet(arrived)
+        live = views.request_columns(file_stream(spark, arrived, events.schema))
+        out = run_available_now(stream_requests.stream_rate_limit(live, 1 / 14400, 3, buckets=held), "append", done)
+    calls = views.requests(spark, SF_DIR)
+    want = token_buckets(calls, 1 / 14400, 3, held).select("client", "event_id", "allowed", "tokens_left")
+    assert rows(out.drop("batch")) == rows(want)
 
 
 def test_silences(spark, parts):
