@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.operators.epochs import shard_assignment
-from shardloom.operators.fold import fold
 from shardloom.operators.ordered import ordered
 from shardloom.operators.workers import seconds_between
 
@@ -177,30 +174,6 @@ def due_by_time(steps: DataFrame, interval: str) -> DataFrame:
     return due.select("run", F.col("w.start").alias("bucket"), "first.*")
 
 
-def due_adaptive(steps: DataFrame, min_steps: int, max_steps: int, loss_threshold: float) -> DataFrame:
-    """Steps at which the adaptive policy saves, from (run, step, loss).
-
-    The rule is ours: counted from the last save (or the first step), save after
-    at least ``min_steps`` when the loss has dropped by the threshold since
-    then, and after ``max_steps`` in any case. Nothing short of the last save
-    tells the state, so each run is one pass of one task.
-    """
-
-    def walk(state, rows: pd.DataFrame):
-        pairs = zip(rows["step"].tolist(), rows["loss"].tolist())
-        due = []
-        for number, loss in pairs:
-            saved_step, saved_loss = state if state is not None else (number, loss)
-            passed = number - saved_step
-            save = passed >= max_steps or (passed >= min_steps and saved_loss - loss >= loss_threshold)
-            state = (number, loss) if save else (saved_step, saved_loss)
-            due.append(save)
-        return state, {"due": np.array(due, dtype=bool)}
-
-    slim = steps.select("run", "step", F.col("loss").cast("double").alias("loss"))
-    return fold(slim, ["run"], ["step"], walk, "due boolean").filter("due").drop("due")
-
-
 def best_checkpoint(metrics: DataFrame, slices: int | None = None) -> DataFrame:
     """Rows of (run, ts, event_id, accuracy) that strictly beat all earlier ones.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shardloom.functions.display import format_bytes, format_number
+from shardloom.operators import adaptive
 from shardloom.operators import checkpoints as ck
 from shardloom.operators.delivery import shard_samples
 from shardloom.operators.training import numbered_steps
@@ -223,7 +224,7 @@ def due_by_time(spark, sf):
     ),
 )
 def due_adaptive(spark, sf):
-    return ck.due_adaptive(steps(spark, sf), min_steps=3, max_steps=12, loss_threshold=20.0)
+    return adaptive.due_adaptive(steps(spark, sf), min_steps=3, max_steps=12, loss_threshold=20.0)
 
 
 @query(

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shardloom.operators import barriers, checkpoints, delivery, epochs, requests, training, workers
+from shardloom.operators import adaptive, barriers, delivery, epochs, requests, training, workers
 from shardloom.operators.ordered import SLICE, lay_out, ordered
 from shardloom.sources import views
 from shardloom.sources.tables import table
@@ -110,16 +110,41 @@ def test_rate_limit_against_brute_force(spark, per_slice):
     assert got == want and not all(got.values())
 
 
+def saves(steps, min_steps, max_steps, drop):
+    want, saved = [], {}
+    for run, step, loss in sorted(steps, key=lambda r: (str(r[0]), r[1])):
+        loss = float("nan") if loss is None else float(loss)
+        at, before = saved.setdefault(run, (step, loss))
+        if step - at >= max_steps or (step - at >= min_steps and before - loss >= drop):
+            saved[run] = (step, loss)
+            want.append((run, step))
+    return sorted(want, key=str)
+
+
 def test_adaptive_policy_against_a_loop(spark):
     steps = training.numbered_steps(views.runs(spark, SF_DIR))
-    want, saved = [], {}
-    for r in sorted(steps.collect(), key=lambda r: (r.run, r.step)):
-        at, loss = saved.setdefault(r.run, (r.step, float(r.loss)))
-        if r.step - at >= 12 or (r.step - at >= 3 and loss - float(r.loss) >= 20.0):
-            saved[r.run] = (r.step, float(r.loss))
-            want.append((r.run, r.step))
-    got = checkpoints.due_adaptive(steps, 3, 12, 20.0)
-    assert sorted((r.run, r.step) for r in got.collect()) == want and want
+    want = saves([(r.run, r.step, r.loss) for r in steps.collect()], 3, 12, 20.0)
+    got = adaptive.due_adaptive(steps, 3, 12, 20.0)
+    assert sorted(((r.run, r.step) for r in got.collect()), key=str) == want and want
+
+
+@pytest.mark.parametrize("slices,rule", [(1, (3, 12, 20.0)), (16, (3, 12, 20.0)), (40, (1, 200, 45.0)), (25, (2, 7, 1000.0))])
+def test_adaptive_policy_of_one_long_run(spark, slices, rule):
+    """Two thirds of the rows in one run, steps with gaps, missing losses, a run without a name, runs of one row."""
+    rng = random.Random(slices)
+    rows = [("long", step, None if step % 41 == 0 else rng.uniform(0, 60)) for step in sorted(rng.sample(range(6000), 1500))]
+    rows += [(None, step, float(600 - step)) for step in range(300)]
+    rows += [(f"run{i % 90}", i // 90, rng.uniform(0, 60)) for i in range(400)]
+    rows += [(f"one{i}", 5, 1.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "run string, step bigint, loss double").repartition(3)
+    got = adaptive.due_adaptive(df, *rule, slices=slices)
+    assert sorted(((r.run, r.step) for r in got.collect()), key=str) == saves(rows, *rule)
+    assert adaptive.due_adaptive(df.limit(0), *rule).count() == 0
+    odd = df.union(spark.createDataFrame([("long", None, 1.0)], df.schema))
+    assert adaptive.due_adaptive(odd, *rule, slices=slices).count() == got.count()
+    if slices > 1:
+        laid = lay_out(df, ["run", "step"], slices).filter("run = 'long'")
+        assert laid.select(SLICE).distinct().count() > slices // 3
 
 
 def test_event_operators_in_slices(spark):
