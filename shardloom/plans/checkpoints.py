@@ -366,6 +366,53 @@ def scan_checkpoints(spark, sf):
     )
 
 
+CHUNK = 4096
+
+
+def chunked_containers(spark, sf):
+    """The containers of ``document_containers``, each written from one chunk per text."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    shards = shard_samples(docs, ["doc_id"], views.SHARD_SIZES["documents"])
+    shard = F.col("shard_id")
+    name = F.concat(F.lit("shard_"), shard.cast("string"), F.lit(".ckpt")).alias("name")
+    metadata = F.create_map(F.lit("dataset"), F.lit("documents"), F.lit("shard"), shard.cast("string"))
+    heads = shards.select("shard_id").distinct().select(
+        name, (shard * 100).alias("step"), (shard % 7).alias("epoch"), F.lit(1).alias("kind"), metadata.alias("metadata")
+    )
+    chunks = shards.select(name, F.col("sample_idx").alias("chunk"), F.encode("text", "UTF-8").alias("data"))
+    path = work_folder(spark, "chunked")
+    containers.write_chunks(heads, chunks, path)
+    return path
+
+
+@query(
+    "scan_headers",
+    with_views(
+        extra=SHARD_TEXTS,
+        query="SELECT 'shard_' || shard || '.ckpt' AS name, CAST(38 + strlen(notes) + strlen(body) AS BIGINT) AS file_size, FALSE AS is_corrupt, TRUE AS version_ok, "
+        "shard * 100 AS step, shard % 7 AS epoch, CAST(strlen(body) AS BIGINT) AS data_size, TRUE AS size_ok, CAST(shard AS VARCHAR) AS shard FROM shard_texts",
+    ),
+)
+def scan_headers(spark, sf):
+    scanned = containers.scan_headers(spark, chunked_containers(spark, sf))
+    return scanned.select(
+        "name", "file_size", "is_corrupt", "version_ok", "step", "epoch", "data_size", "size_ok", F.col("metadata")["shard"].alias("shard")
+    )
+
+
+@query(
+    "container_chunks",
+    with_views(
+        extra=SHARD_TEXTS,
+        query=f"SELECT name, chunk, chunk * {CHUNK} AS offset, md5(bytes[chunk * {CHUNK} + 1 : (chunk + 1) * {CHUNK}]) AS data_md5 FROM "
+        f"(SELECT 'shard_' || shard || '.ckpt' AS name, encode(body) AS bytes, unnest(range(0, (strlen(body) + {CHUNK - 1}) // {CHUNK})) AS chunk FROM shard_texts)",
+    ),
+)
+def container_chunks(spark, sf):
+    chunks = containers.read_chunks(spark, chunked_containers(spark, sf), CHUNK)
+    return chunks.select("name", "chunk", "offset", F.md5("data").alias("data_md5"))
+
+
 @query(
     "object_inventory",
     with_views(

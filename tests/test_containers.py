@@ -43,3 +43,28 @@ def test_damaged_files(spark):
     assert [n for n in got if got[n].is_corrupt] == sorted(["magic", "header"], key=list(got).index)
     assert not got["version"].version_ok and not got["version"].is_corrupt
     assert not got["cut"].size_ok and got["good"].size_ok and got["huge"].step is None
+    headers = {r.name: r for r in containers.scan_headers(spark, path).collect()}
+    fields = ["file_size", "is_corrupt", "version", "version_ok", "step", "epoch", "type", "compressed", "data_size", "size_ok", "metadata"]
+    for name, whole in got.items():
+        assert [headers[name][f] for f in fields] == [whole[f] for f in fields]
+    assert {r.name for r in containers.read_chunks(spark, path, 2).collect()} == {"good", "version", "huge"}
+
+
+def test_chunks_of_large_containers(spark):
+    """A container of 200 MB from chunks, an empty one, one without chunks; the scan reads headers only."""
+    heads = spark.createDataFrame(
+        [(n, 5, 1, 0, {"k": n}) for n in ("large", "empty", "bare")], "name string, step bigint, epoch bigint, kind int, metadata map<string,string>"
+    )
+    body = spark.range(200).select(
+        F.lit("large").alias("name"), F.col("id").alias("chunk"), F.encode(F.repeat(F.char(65 + F.col("id") % 26), F.lit(1_000_003)), "UTF-8").alias("data")
+    )
+    odd = spark.createDataFrame([("empty", 0, None), ("unknown", 0, bytearray(b"x"))], body.schema)
+    path = work_folder(spark, "containers")
+    receipts = {r.name: r.size_bytes for r in containers.write_chunks(heads, body.union(odd).repartition(7), path).collect()}
+    assert receipts["large"] == 38 + len('{"k":"large"}') + 200 * 1_000_003 and set(receipts) == {"large", "empty", "bare"}
+    scanned = {r.name: r for r in containers.scan_headers(spark, path).collect()}
+    assert all(r.size_ok and not r.is_corrupt and r.metadata == {"k": n} for n, r in scanned.items())
+    assert {n: r.data_size for n, r in scanned.items()} == {"large": 200 * 1_000_003, "empty": 0, "bare": 0}
+    back = containers.read_chunks(spark, path, 1_000_003).select("name", "chunk", "offset", F.md5("data").alias("m"), F.length("data").alias("n"))
+    want = body.select("name", "chunk", (F.col("chunk") * 1_000_003).alias("offset"), F.md5("data").alias("m"), F.length("data").alias("n"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, want.collect()))
