@@ -21,6 +21,11 @@ P99_SQL = (
 )
 
 
+def placed_sql(q: float) -> str:
+    """The latency at place floor(q n), at most n - 1, of a group."""
+    return f"list_sort(list(latency_us))[least(floor(count(latency_us) * {q}::DOUBLE), count(latency_us) - 1)::BIGINT + 1]"
+
+
 @query("recent_p99", with_views("requests_v", extra=P99_SQL, query="SELECT method, samples, p99_us FROM p99"))
 def recent_p99(spark, sf):
     return rq.recent_p99(views.requests(spark, sf))
@@ -37,6 +42,20 @@ def request_summary(spark, sf):
     return rq.request_summary(views.requests(spark, sf))
 
 
+@query(
+    "request_quantiles",
+    with_views(
+        "requests_v",
+        query="SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, method, count(*) AS requests, count(*) FILTER (WHERE is_error) AS errors, count(latency_us) AS samples, "
+        f"{placed_sql(0.5)} AS p50_us, {placed_sql(0.99)} AS p99_us FROM requests_v GROUP BY 1, 2",
+    ),
+)
+def request_quantiles(spark, sf):
+    """Days put together from the sketches of their minutes; exact while a method has few requests a day."""
+    minutes = rq.latency_sketches(views.requests(spark, sf))
+    return rq.merged_summary(minutes, [F.date_trunc("day", "window_start").cast("timestamp_ntz").alias("day"), "method"])
+
+
 @query(
     "requests_per_second",
     with_views(

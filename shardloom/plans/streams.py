@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shardloom.plans.registry import ORACLES, query
-from shardloom.plans.requests import BURST, RATE
+from shardloom.plans.requests import BURST, RATE, placed_sql
 from shardloom.plans.sql_views import with_views
 from shardloom.session import work_folder
 from shardloom.sources import views
@@ -103,7 +103,7 @@ def request_windows(spark, sf, width, slide=None):
     with_views(
         "requests_v",
         query="SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, method, count(*) AS requests, count(*) FILTER (WHERE is_error) AS errors, "
-        f"max(latency_us) AS max_latency_us FROM requests_v GROUP BY 1, 2 HAVING window_start + INTERVAL 1 MINUTE <= {WATERMARK}",
+        f"max(latency_us) AS max_latency_us, {placed_sql(0.99)} AS p99_us FROM requests_v GROUP BY 1, 2 HAVING window_start + INTERVAL 1 MINUTE <= {WATERMARK}",
     ),
 )
 def stream_request_windows(spark, sf):
@@ -114,8 +114,8 @@ def stream_request_windows(spark, sf):
     "stream_sliding_windows",
     with_views(
         "requests_v",
-        query="SELECT w AS window_start, method, count(*) AS requests, count(*) FILTER (WHERE is_error) AS errors, max(latency_us) AS max_latency_us FROM "
-        "(SELECT *, unnest([time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 2 HOUR, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR, time_bucket(INTERVAL 1 HOUR, ts)]) AS w "
+        query="SELECT w AS window_start, method, count(*) AS requests, count(*) FILTER (WHERE is_error) AS errors, max(latency_us) AS max_latency_us, "
+        f"{placed_sql(0.99)} AS p99_us FROM (SELECT *, unnest([time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 2 HOUR, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR, time_bucket(INTERVAL 1 HOUR, ts)]) AS w "
         f"FROM requests_v) GROUP BY 1, 2 HAVING w + INTERVAL 3 HOUR <= {WATERMARK}",
     ),
 )

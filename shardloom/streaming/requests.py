@@ -12,18 +12,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shardloom.operators.buckets import decide, pause_for_one
+from shardloom.operators.requests import P99, SKETCH_K, sketch_quantile
 from shardloom.streaming.run import prepare
 
 
-def stream_request_windows(requests: DataFrame, width: str = "1 minute", slide: str | None = None) -> DataFrame:
-    """Requests, errors and the longest latency per method and window, once closed."""
+def stream_request_windows(requests: DataFrame, width: str = "1 minute", slide: str | None = None, k: int = SKETCH_K) -> DataFrame:
+    """Requests, errors, longest and 99th percentile latency per method and window, once closed.
+
+    The percentile comes from a KLL sketch of size ``k`` in the window's state: exact
+    up to about ``k`` requests, its place within 0.3 % of them (k = 1600) beyond.
+    """
     span = F.window("ts", width, slide) if slide else F.window("ts", width)
     per = requests.groupBy(span.alias("w"), "method").agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if("is_error").alias("errors"),
         F.max("latency_us").alias("max_latency_us"),
+        F.count("latency_us").alias("samples"),
+        F.kll_sketch_agg_bigint("latency_us", F.lit(k)).alias("sketch"),
     )
-    return per.select(F.col("w.start").alias("window_start"), "method", "requests", "errors", "max_latency_us")
+    p99 = sketch_quantile(F.col("sketch"), F.col("samples"), P99).alias("p99_us")
+    return per.select(F.col("w.start").alias("window_start"), "method", "requests", "errors", "max_latency_us", p99)
 
 
 class Bucket(StatefulProcessor):

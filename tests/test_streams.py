@@ -104,3 +104,34 @@ def test_late_rows(spark):
     events = spark.createDataFrame([(0, 100), (0, 200), (1, 150), (1, 189), (1, 190)], "batch bigint, s bigint")
     events = events.withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
     assert sorted(r.s for r in catalogue.late_events(events, "batch", 10).collect()) == [150, 189]
+
+
+def test_request_windows_with_percentiles(spark, parts):
+    live = event_time(views.request_columns(stream(spark, parts, "events")), "ts", "10 minutes")
+    out = run_available_now(stream_requests.stream_request_windows(live, "1 day"), "append", work_folder(spark, "t"))
+    calls = views.requests(spark, SF_DIR)
+    days = calls.withColumn("window_start", F.date_trunc("day", "ts"))
+    batch = requests.rank_p99(days, ["window_start", "method"], "latency_us", "event_id")
+    want = {(r.window_start, r.method): r.p99 for r in batch.collect()}
+    got = {(r.window_start, r.method): r.p99_us for r in out.collect()}
+    assert got and set(got) <= set(want) and all(want[k] == v for k, v in got.items())
+
+
+def test_merged_sketches_keep_their_places(spark):
+    """Places of quantiles merged from 60 small sketches, against all values; a method without latencies."""
+    n = 40_000
+    values = F.when(F.col("id") % 7 < 6, F.pmod(F.xxhash64("id"), F.lit(1_000_000))).otherwise(F.pmod(F.xxhash64("id"), F.lit(500)))
+    calls = spark.range(n).select(
+        F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 90_000).alias("ts"),
+        F.lit("m").alias("method"), (F.col("id") % 10 == 0).alias("is_error"), values.alias("latency_us"),
+    )
+    none = calls.limit(3).select("ts", F.lit("none").alias("method"), F.lit(None).cast("boolean").alias("is_error"), F.lit(None).cast("bigint").alias("latency_us"))
+    small = requests.latency_sketches(calls.union(none), "1 minute", k=400)
+    assert small.count() > 50
+    got = {r.method: r for r in requests.merged_summary(small, ["method"], k=400).collect()}
+    ordered = sorted(r.latency_us for r in calls.select("latency_us").collect())
+    for value, q in ((got["m"].p50_us, 0.5), (got["m"].p99_us, 0.99)):
+        low, high = (sum(v < value for v in ordered) / n, sum(v <= value for v in ordered) / n)
+        assert low - 0.0206 <= q <= high + 0.0206  # twice the stated 2.3 / 400 ** 0.9021
+    assert (got["m"].requests, got["m"].errors, got["m"].samples) == (n, n // 10, n)
+    assert (got["none"].requests, got["none"].samples, got["none"].p99_us) == (3, 0, None)
