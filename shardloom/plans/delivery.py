@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shardloom.operators import delivery as dl
+from shardloom.operators import packed
 from shardloom.plans.placement import plan_of, ranked
 from shardloom.plans.registry import query
 from shardloom.plans.sql_views import with_views
@@ -209,15 +210,15 @@ def per_worker_dataset(spark, sf):
     return dl.per_worker_dataset(workers, choices, "lineitem")
 
 
-@query(
-    "read_shard",
-    with_views(
-        "assignment_v",
-        query="SELECT a.shard_id, a.order_index, s.sample_idx, s.o_orderkey, s.o_totalprice FROM "
-        "(SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS sample_idx FROM orders) s "
-        + ASSIGN_SQL.format("orders", 500) + " WHERE a.epoch = 1 AND a.worker_id = (SELECT max(worker_id) FROM assignment_v WHERE dataset_id = 'orders')",
-    ),
+OWN_ORDERS_SQL = with_views(
+    "assignment_v",
+    query="SELECT a.shard_id, a.order_index, s.sample_idx, s.o_orderkey, s.o_totalprice FROM "
+    "(SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS sample_idx FROM orders) s "
+    + ASSIGN_SQL.format("orders", 500) + " WHERE a.epoch = 1 AND a.worker_id = (SELECT max(worker_id) FROM assignment_v WHERE dataset_id = 'orders')",
 )
+
+
+@query("read_shard", OWN_ORDERS_SQL)
 def read_shard(spark, sf):
     plan = plan_of(spark, sf, names=("orders",))
     owner = plan.agg(F.max("worker_id")).first()[0]
@@ -241,6 +242,31 @@ def write_sharded(spark, sf):
     return files.select("shard_id", "num_samples", F.size("file_paths").cast("bigint").alias("files"))
 
 
+def packed_orders(spark, sf):
+    path = work_folder(spark, "orders-packed")
+    size = views.SHARD_SIZES["orders"]
+    samples = dl.shard_samples(table(spark, sf, "orders"), ["o_orderkey"], size)
+    packed.write_packed(samples, path, shard_rows=size, file_bytes=4 << 20)
+    return path
+
+
+@query("read_packed_shard", OWN_ORDERS_SQL)
+def read_packed_shard(spark, sf):
+    plan = plan_of(spark, sf, names=("orders",))
+    owner = plan.agg(F.max("worker_id")).first()[0]
+    rows = packed.read_packed_shard(spark, packed_orders(spark, sf), plan, owner, 1)
+    return rows.select("shard_id", "order_index", "sample_idx", "o_orderkey", "o_totalprice")
+
+
+@query(
+    "write_packed",
+    "SELECT n // 500 AS shard_id, count(*) AS num_samples, 1::BIGINT AS files FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders) GROUP BY 1",
+)
+def write_packed(spark, sf):
+    index = packed.packed_index(spark, packed_orders(spark, sf))
+    return index.groupBy(F.col("id").alias("shard_id")).agg(F.sum("num_rows").alias("num_samples"), F.count(F.lit(1)).alias("files"))
+
+
 @query(
     "format_sources",
     "SELECT f.format, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS price, "
