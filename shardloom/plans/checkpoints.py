@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shardloom.functions.display import format_bytes, format_number
-from shardloom.operators import adaptive
+from shardloom.operators import adaptive, versions
 from shardloom.operators import checkpoints as ck
 from shardloom.operators.delivery import shard_samples
 from shardloom.operators.training import numbered_steps
@@ -254,16 +254,15 @@ def altered_customer(spark, sf):
     return base, kept.unionByName(base.filter(key % 50 == 2).withColumn("c_custkey", key + 1_000_000_000))
 
 
-@query(
-    "table_delta",
-    with_views(
-        extra=NEW_CUSTOMER,
-        query="SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NULL THEN 'insert' WHEN n.c_custkey IS NULL THEN 'delete' "
-        "ELSE 'update' END AS op, n.c_name, n.c_nationkey, n.c_acctbal, n.c_mktsegment FROM customer o FULL JOIN new_customer n ON o.c_custkey = n.c_custkey "
-        "WHERE (o.c_name, o.c_nationkey, o.c_acctbal, o.c_mktsegment) IS DISTINCT FROM (n.c_name, n.c_nationkey, n.c_acctbal, n.c_mktsegment) "
-        "OR o.c_custkey IS NULL OR n.c_custkey IS NULL",
-    ),
+DELTA_SQL = (
+    "SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NULL THEN 'insert' WHEN n.c_custkey IS NULL THEN 'delete' "
+    "ELSE 'update' END AS op, n.c_name, n.c_nationkey, n.c_acctbal, n.c_mktsegment FROM customer o FULL JOIN new_customer n ON o.c_custkey = n.c_custkey "
+    "WHERE (o.c_name, o.c_nationkey, o.c_acctbal, o.c_mktsegment) IS DISTINCT FROM (n.c_name, n.c_nationkey, n.c_acctbal, n.c_mktsegment) "
+    "OR o.c_custkey IS NULL OR n.c_custkey IS NULL"
 )
+
+
+@query("table_delta", with_views(extra=NEW_CUSTOMER, query=DELTA_SQL))
 def table_delta(spark, sf):
     base, new = altered_customer(spark, sf)
     return ck.table_delta(base, new, ["c_custkey"])
@@ -275,6 +274,24 @@ def apply_delta(spark, sf):
     return ck.apply_delta(base, ck.table_delta(base, new, ["c_custkey"]), ["c_custkey"])
 
 
+FEW_CHANGED = (
+    "new_customer AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal + CASE WHEN c_custkey % 500 = 1 THEN 1 ELSE 0 END AS c_acctbal, c_mktsegment "
+    "FROM customer WHERE c_custkey % 500 <> 0 UNION ALL SELECT c_custkey + 1000000000, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 500 = 2)"
+)
+
+
+@query("version_delta", with_views(extra=FEW_CHANGED, query=DELTA_SQL))
+def version_delta(spark, sf):
+    base = table(spark, sf, "customer")
+    key = F.col("c_custkey")
+    kept = base.filter(key % 500 != 0).withColumn("c_acctbal", F.col("c_acctbal") + F.when(key % 500 == 1, 1.0).otherwise(0.0))
+    new = kept.unionByName(base.filter(key % 500 == 2).withColumn("c_custkey", key + 1_000_000_000))
+    old, fresh = work_folder(spark, "customer-old"), work_folder(spark, "customer-new")
+    versions.write_version(base, ["c_custkey"], old, bits=12)
+    versions.write_version(new, ["c_custkey"], fresh, like=old)
+    return versions.version_delta(spark, old, fresh, ["c_custkey"])
+
+
 @query(
     "checkpoint_sizes",
     with_views(
