@@ -27,6 +27,7 @@ from shardloom.llm import bits
 from shardloom.llm.common import read, row_key, settle, small_batches, whole
 
 EDITS = 2
+BUCKET_BYTES = 32 << 20  # of text for each bucket of keys, which one task holds
 MIN_BYTES = 24
 CHUNK = 1_000_000
 ROWS_AT_ONCE = 1_000_000
@@ -307,8 +308,9 @@ def late_lines(docs: DataFrame, first: DataFrame, edits: int = EDITS, min_bytes:
     ``first`` has (line, first). Groups above ``PART`` lines meet part by part.
     """
     spark = docs.sparkSession
-    buckets = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select("text")
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     keys = texts.mapInArrow(_keys(edits, min_bytes, buckets), "bucket int, role int, payload binary")
     groups = keys.repartition(buckets, "bucket").select("role", "payload").mapInArrow(_match, "grp long, line long, role int").distinct()
     groups = settle(groups, "line-groups")
