@@ -5,13 +5,19 @@ ends kept). Its units are its lines, its paragraphs of several lines and, if it
 has several paragraphs, all of it. A unit and a template are compared by the Dice
 coefficient of their sets of word bigrams. For a coefficient of t or more
 neither set can be larger than (2 - t) / t times the other, so sizes alone drop
-nearly all templates for nearly all units. Spark expressions only; the templates
-are constants of the plan, and no rows are shuffled.
+nearly all templates for nearly all units. For the same reason a unit holds so
+many of a template's bigrams that it holds one of its anchors, a few words that
+stand in the others: texts and units without any anchor are dropped unsplit.
+Spark expressions only; the templates are constants of the plan, and no rows are
+shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +25,8 @@ from pyspark.sql import functions as F
 from shardloom.llm.common import read
 
 DICE = 0.8
+# Words of any prose: anchors only where a template has no others to offer.
+COMMON = set("a all an and any are as at be by for from if in is it may not of on or such that the this to under which with without you".split())
 
 # Public licence notices and paragraphs, by licence and part.
 TEMPLATES = {
@@ -52,9 +60,43 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
-def units(text: Column) -> Column:
-    """Lines, paragraphs of several lines, and a text of several paragraphs, normalised."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9\n]+", " ")
+def anchors(sets: Iterable[list[str]], dice: float) -> list[str]:
+    """Words of which every unit that reaches ``dice`` with one of the bigram sets holds one; of several choices few, long and uncommon words.
+
+    A coefficient of t or more takes t / (2 - t) of a template's bigrams at least.
+    So many cannot be found among those without an anchor.
+    """
+    open_ = []  # per template: bigrams without an anchor as yet, and how many of them may stay so
+    for bigrams in sets:
+        if bigrams:
+            open_.append((set(bigrams), math.ceil(dice / (2 - dice) * len(bigrams) * (1 - 1e-9)) - 1))
+    chosen: list[str] = []
+    while open_ := [(left, may) for left, may in open_ if len(left) > may]:
+        gains: dict[str, int] = {}
+        for left, may in open_:
+            held: dict[str, int] = {}
+            for bigram in left:
+                for word in set(bigram.split(" ")):
+                    held[word] = held.get(word, 0) + 1
+            for word, n in held.items():
+                gains[word] = gains.get(word, 0) + min(n, len(left) - may)
+        word = max(sorted(gains), key=lambda w: (w not in COMMON, gains[w] * len(w) ** 2))
+        chosen.append(word)
+        open_ = [({b for b in left if word not in b.split(" ")}, may) for left, may in open_]
+    return chosen
+
+
+def normalised(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9\n]+", " ")
+
+
+def spaced(plain: Column) -> Column:
+    """A normalised text with a space on both sides of every word."""
+    return F.concat(F.lit(" "), F.translate(plain, "\n", " "), F.lit(" "))
+
+
+def units(plain: Column) -> Column:
+    """Lines, paragraphs of several lines, and a text of several paragraphs, of a normalised text."""
     lines, blocks = F.split(plain, "\n", -1), F.split(plain, "\n[ \n]*\n", -1)
 
     def unit(kind: str, number: Column, value: Column) -> Column:
@@ -83,8 +125,14 @@ def scan(docs: DataFrame, text: str = "text", keep=("doc_id",), templates: dict[
         F.struct(F.lit(i).alias("place"), F.lit(len(s)).alias("n"), F.array(*[F.lit(b) for b in s]).alias("bigrams")) for i, s in enumerate(sets)
     ])
     reach = (2 - dice) / dice * (1 + 1e-9)  # a bound, so rounding must not cut it short
-    rows = docs.select(*[F.col(c) for c in keep], F.explode(units(F.col(text))).alias("u"))
-    rows = rows.select(*keep, "u.unit", "u.number", once(F.array_remove(F.split(F.translate("u.value", "\n", " "), " "), "")).alias("words"))
+    # Without a coefficient to reach there is nothing to tell from anchors.
+    words = anchors(sets, dice) if dice > 0 else []
+    named = F.lower(F.col(text)).rlike(f"(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])") if words else F.lit(dice <= 0)
+    holds = reduce(Column.__or__, [F.contains(F.col("spaced"), F.lit(f" {w} ")) for w in words]) if words else F.lit(dice <= 0)
+    rows = docs.filter(named).select(*[F.col(c) for c in keep], once(normalised(F.col(text))).alias("plain"))
+    rows = rows.select(*keep, F.explode(units(F.col("plain"))).alias("u"))
+    rows = rows.select(*keep, "u.unit", "u.number", once(spaced(F.col("u.value"))).alias("spaced")).filter(holds)
+    rows = rows.select(*keep, "unit", "number", once(F.array_remove(F.split("spaced", " "), "")).alias("words"))
     low, high = min(map(len, sets)) / reach, max(map(len, sets)) * reach
     # Every distinct word but the first ends a bigram of its own, so many words make many bigrams.
     few = (F.size("words") - 1 <= high) | (F.size(F.array_distinct("words")) - 1 <= high)

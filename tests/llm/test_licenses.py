@@ -51,3 +51,30 @@ def test_no_rows_and_no_python(spark):
     assert scanned.count() == 0
     plan = scanned._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_texts_without_an_anchor_are_dropped_before_they_are_split(spark):
+    # Less than the bigrams needed for the coefficient hold none of the anchors.
+    for texts in (list(licenses.TEMPLATES.values()), ["to be or not to be", "it is", "by the the way", "one"]):
+        sets = [licenses.template_bigrams(t) for t in texts]
+        for dice in (0.05, 0.5, 0.8, 1.0):
+            words = set(licenses.anchors(sets, dice))
+            for s in filter(None, sets):
+                assert sum(not words & set(b.split()) for b in s) < dice / (2 - dice) * len(s)
+    plan = licenses.scan(documents(spark, []))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Contains(spaced") < plan.index("paragraph") < plan.index("RLIKE(lower(text")
+
+
+def test_templates_of_common_words(spark):
+    rows = [(1, "To be, or not to be!\nit is", "s"), (2, "be or not to", "s"), (3, "the way by the", "s"), (4, "nothing of it", "s")]
+    templates = {"A x": "to be or not to be", "B y": "it is", "C z": "by the way"}
+    for dice in (0.5, 0.8):
+        want = set()
+        for i, text, _ in rows:
+            for k, unit in enumerate(text.split("\n")):
+                own = bigrams(unit)
+                best = max((2 * len(own & bigrams(t)) / (len(own) + len(bigrams(t))), [-ord(c) for c in n], n) for n, t in templates.items())
+                if best[0] >= dice:
+                    want.add((i, k, best[2][0]))
+        got = licenses.scan(documents(spark, rows), templates=templates, dice=dice).filter("unit = 'line'").collect()
+        assert {(r.doc_id, r.number, r.license) for r in got} == want and want
