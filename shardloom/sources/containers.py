@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.functions.binary import little_endian, read_little_endian
+from shardloom.session import batches_of
 from shardloom.sources.ranges import files, store
 
 # The container format. Little endian: magic, version (4 bytes),
@@ -17,6 +19,8 @@ from shardloom.sources.ranges import files, store
 MAGIC = b"CKPT"
 VERSION = 1
 HEADER_BYTES = 38
+BATCH_BYTES = 8 << 20  # of contents a Python task is handed at once
+RECEIPT = pa.schema([("name", pa.string()), ("size_bytes", pa.int64())])
 
 
 def header(step: Column, epoch: Column, kind: Column, metadata: Column, data_size: Column) -> Column:
@@ -54,12 +58,13 @@ def encode_checkpoint(df: DataFrame, path: str) -> DataFrame:
 
     Tasks write in parallel to the shared folder. Each file is written under a
     temporary name and then moved, so a retried or duplicate task leaves a whole
-    file. The receipts (name, size_bytes) are a table next to the files.
+    file. A task holds a few MB of contents, or one larger content. The receipts
+    (name, size_bytes) are a table next to the files.
     """
 
     place = qualified(df.sparkSession, path)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         from pyarrow import fs
@@ -67,15 +72,20 @@ def encode_checkpoint(df: DataFrame, path: str) -> DataFrame:
         store, root = fs.FileSystem.from_uri(place)
         store.create_dir(f"{root}/data", recursive=True)
         for rows in batches:
-            for name, content in zip(rows["name"], rows["content"]):
+            names, sizes = rows.column("name").to_pylist(), []
+            for name, content in zip(names, rows.column("content")):
                 partial = f"{root}/data/_{name}.{uuid.uuid4().hex}"
+                held = content.as_buffer()
                 with store.open_output_stream(partial) as out:
-                    out.write(content)
+                    out.write(held)
                 store.move(partial, f"{root}/data/{name}")
-            yield pd.DataFrame({"name": rows["name"], "size_bytes": [len(c) for c in rows["content"]]})
+                sizes.append(held.size)
+            rows = content = held = None  # else they stay while the next batch comes
+            yield pa.RecordBatch.from_pydict({"name": names, "size_bytes": sizes}, schema=RECEIPT)
 
-    receipts = df.select("name", "content").mapInPandas(write, "name string, size_bytes bigint")
-    receipts.write.mode("errorifexists").parquet(f"{path}/receipts")
+    receipts = df.select("name", "content").mapInArrow(write, "name string, size_bytes bigint")
+    with batches_of(df.sparkSession, BATCH_BYTES):
+        receipts.write.mode("errorifexists").parquet(f"{path}/receipts")
     return df.sparkSession.read.parquet(f"{path}/receipts")
 
 
@@ -95,7 +105,7 @@ def write_chunks(heads: DataFrame, chunks: DataFrame, path: str) -> DataFrame:
     body = chunks.join(heads.select("name"), "name", "left_semi").select("name", F.col("chunk").cast("bigint").alias("chunk"), "data")
     pieces = sized.select("name", F.lit(-1).cast("bigint").alias("chunk"), first.alias("data")).union(body)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         from pyarrow import fs
@@ -104,27 +114,31 @@ def write_chunks(heads: DataFrame, chunks: DataFrame, path: str) -> DataFrame:
         store.create_dir(f"{root}/data", recursive=True)
         at, out, partial, written = None, None, "", 0
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             out.close()
             store.move(partial, f"{root}/data/{at}")
-            return pd.DataFrame({"name": [at], "size_bytes": [written]})
+            return pa.RecordBatch.from_pydict({"name": [at], "size_bytes": [written]}, schema=RECEIPT)
 
         for rows in batches:
-            for name, data in zip(rows["name"], rows["data"]):
+            for name, data in zip(rows.column("name").to_pylist(), rows.column("data")):
                 if name != at:
                     if out is not None:
                         yield close()
                     at, partial, written = name, f"{root}/data/_{name}.{uuid.uuid4().hex}", 0
                     out = store.open_output_stream(partial)
-                if data is not None:
-                    out.write(data)
-                    written += len(data)
+                if data.is_valid:
+                    held = data.as_buffer()
+                    out.write(held)
+                    written += held.size
+            rows = data = held = None  # else they stay while the next batch comes
         if out is not None:
             yield close()
 
     parts = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = pieces.repartition(parts, "name").sortWithinPartitions("name", "chunk")
-    laid.mapInPandas(write, "name string, size_bytes bigint").write.mode("errorifexists").parquet(f"{path}/receipts")
+    receipts = laid.mapInArrow(write, "name string, size_bytes bigint")
+    with batches_of(heads.sparkSession, BATCH_BYTES):
+        receipts.write.mode("errorifexists").parquet(f"{path}/receipts")
     return heads.sparkSession.read.parquet(f"{path}/receipts")
 
 

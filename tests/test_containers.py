@@ -1,9 +1,12 @@
 """Container files: layout, round trip and damaged files."""
 
 import struct
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+import shardloom.session as session_module
 from shardloom.session import work_folder
 from shardloom.sources import containers
 
@@ -68,3 +71,37 @@ def test_chunks_of_large_containers(spark):
     back = containers.read_chunks(spark, path, 1_000_003).select("name", "chunk", "offset", F.md5("data").alias("m"), F.length("data").alias("n"))
     want = body.select("name", "chunk", (F.col("chunk") * 1_000_003).alias("offset"), F.md5("data").alias("m"), F.length("data").alias("n"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_writers_hold_few_bytes_of_what_they_write(spark, tmp_path, monkeypatch):
+    """However many contents a task writes, it is handed a few MB at once."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    many = spark.range(0, 64, 1, 1).select(F.concat(F.lit("c"), "id").alias("name"), F.expr("encode(repeat('x', 1000000), 'UTF-8')").alias("content"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    seen = []
+
+    @contextmanager
+    def watched(session, max_bytes):
+        with session_module.batches_of(session, max_bytes):
+            seen.append(max(r.n for r in many.mapInArrow(sizes, "n long").collect()))
+            yield
+
+    monkeypatch.setattr(containers, "batches_of", watched)
+    receipts = containers.encode_checkpoint(many, str(tmp_path / "a"))
+    assert receipts.count() == 64 and receipts.filter("size_bytes <> 1000000").isEmpty()
+    heads = spark.createDataFrame([("big", 1, 1, 1, {"a": "b"})], "name string, step long, epoch long, kind int, metadata map<string,string>")
+    chunks = many.select(F.lit("big").alias("name"), F.monotonically_increasing_id().alias("chunk"), F.col("content").alias("data"))
+    assert containers.write_chunks(heads, chunks, str(tmp_path / "b")).first().size_bytes > 64_000_000
+    assert len(seen) == 2 and max(seen) < 12 << 20
+    assert spark.conf.get(setting) == before
+    for own in ("3m", "1g"):
+        spark.conf.set(setting, own)
+        with session_module.batches_of(spark, 8 << 20):
+            assert spark.conf.get(setting) == ("3m" if own == "3m" else f"{8 << 20}b")
+        assert spark.conf.get(setting) == own
+    spark.conf.set(setting, before)
