@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,8 +122,13 @@ def preview(delivered: DataFrame, shard_size: int, per_shard: int) -> DataFrame:
 
 
 def write_sharded(df: DataFrame, path: str) -> None:
-    """One folder and file per shard; a shard's fixed size bounds every task."""
-    df.repartition("shard_id").write.mode("errorifexists").partitionBy("shard_id").parquet(path)
+    """One folder and file per shard; a shard's fixed size bounds every task.
+
+    The number of tasks is given, as files cost more here than bytes do, by which
+    Spark would merge the tasks to fewer and uneven ones.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, "shard_id").write.mode("errorifexists").partitionBy("shard_id").parquet(path)
 
 
 def shard_files(spark: SparkSession, path: str) -> DataFrame:
@@ -134,13 +140,24 @@ def shard_files(spark: SparkSession, path: str) -> DataFrame:
 def read_shard(spark: SparkSession, path: str, assignment: DataFrame, worker_id: str, epoch: int) -> DataFrame:
     """Only the files of one worker's shards in one epoch.
 
-    Up to ``MAX_PRUNED`` shard ids become a filter on the partition folders; a
+    Of up to ``MAX_PRUNED`` shards only the own folders are listed. Where one of
+    them is missing all are listed, and the ids are a filter on the folders; a
     longer list leaves the pruning to the join with the filtered plan.
     """
     own = assignment.filter((F.col("worker_id") == worker_id) & (F.col("epoch") == epoch))
     own = small(own.select("shard_id", "worker_id", "epoch", "order_index"), MAX_PLAN_ROWS)
-    rows = spark.read.parquet(path)
-    ids = [r.shard_id for r in own.select("shard_id").limit(MAX_PRUNED + 1).collect()]
-    if len(ids) <= MAX_PRUNED:
-        rows = rows.filter(F.col("shard_id").isin(ids))
-    return rows.join(own, "shard_id")
+    ids = sorted({r.shard_id for r in own.select("shard_id").limit(MAX_PRUNED + 1).collect()})
+    if len(ids) > MAX_PRUNED:
+        return spark.read.parquet(path).join(own, "shard_id")
+    return _shards(spark, path, ids).filter(F.col("shard_id").isin(ids)).join(own, "shard_id")
+
+
+def _shards(spark: SparkSession, path: str, ids: Sequence[int]) -> DataFrame:
+    """A sharded table of the folders of ``ids``, or of all if one of those is missing."""
+    if ids:
+        try:
+            return spark.read.option("basePath", path).parquet(*[f"{path}/shard_id={i}" for i in ids])
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return spark.read.parquet(path)

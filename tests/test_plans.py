@@ -32,6 +32,25 @@ def test_read_shard_prunes_partitions(spark):
     assert read.select("shard_id").distinct().count() == 3
 
 
+def test_read_shard_lists_own_folders_only(spark, tmp_path):
+    path = str(tmp_path / "sharded")
+    delivery.write_sharded(spark.range(50).withColumn("shard_id", F.expr("id div 10")), path)
+    # A foreign folder of another layout, which no listing of all folders gets past.
+    spark.range(3).write.parquet(f"{path}/shard_id=7/x=1")
+    plan_rows = [(0, "w", 0, 5), (3, "w", 0, 6), (1, "v", 0, 7), (4, "w", 1, 8)]
+    assignment = spark.createDataFrame(plan_rows, "shard_id long, worker_id string, epoch long, order_index long")
+    got = delivery.read_shard(spark, path, assignment, "w", 0).select("id", "shard_id", "order_index").collect()
+    assert sorted(map(tuple, got)) == [(i, 0, 5) for i in range(10)] + [(i, 3, 6) for i in range(30, 40)]
+
+
+def test_read_shard_without_some_folders(spark, tmp_path):
+    path = str(tmp_path / "sharded")
+    delivery.write_sharded(spark.range(50).withColumn("shard_id", F.expr("id div 10")), path)
+    assignment = spark.createDataFrame([(2, "w", 0, 5), (9, "w", 0, 6)], "shard_id long, worker_id string, epoch long, order_index long")
+    assert sorted(r.id for r in delivery.read_shard(spark, path, assignment, "w", 0).collect()) == list(range(20, 30))
+    assert delivery.read_shard(spark, path, assignment, "nobody", 0).isEmpty()
+
+
 def sample_windows(text):
     """Partition columns of the windows that read sample rows."""
     return [m for m in re.findall(r"Window \[row_number\(\)[^\n]*", text)]
