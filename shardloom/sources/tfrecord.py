@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +119,20 @@ def _message(number: int, body: bytes) -> bytes:
     return _number(number << 3 | BYTES) + _number(len(body)) + body
 
 
+@lru_cache(1 << 14)
+def _lead(number: int, size: int) -> bytes:
+    """What stands before so many bytes of a message."""
+    return _number(number << 3 | BYTES) + _number(size)
+
+
+@lru_cache(1 << 14)
+def _entry_lead(name: str, kind: int, size: int) -> bytes:
+    """What stands before so many bytes of a feature's values: entry, name, value."""
+    key, value = _message(1, name.encode()), _lead(kind, size)
+    value = _lead(2, len(value) + size) + value
+    return _lead(1, len(key) + len(value) + size) + key + value
+
+
 def encoded(row: dict[str, tuple[int, list] | None]) -> bytes:
     """An example message; features are (1 bytes, 2 floats, 3 whole numbers; values), null ones stay out."""
     entries = []
@@ -125,10 +141,11 @@ def encoded(row: dict[str, tuple[int, list] | None]) -> bytes:
             continue
         kind, values = feature
         if kind == 1:
-            body = b"".join(_message(1, v) for v in values)
+            body = b"".join([_lead(1, len(v)) + v for v in values])
         else:
-            body = _message(1, struct.pack(f"<{len(values)}f", *values) if kind == 2 else b"".join(map(_number, values)))
-        entries.append(_message(1, _message(1, name.encode()) + _message(2, _message(kind, body))))
+            body = struct.pack(f"<{len(values)}f", *values) if kind == 2 else b"".join(map(_number, values))
+            body = _lead(1, len(body)) + body
+        entries.append(_entry_lead(name, kind, len(body)) + body)
     return _message(1, b"".join(entries))
 
 
@@ -196,6 +213,134 @@ def _from_numbers(df: DataFrame, schema: StructType) -> DataFrame:
     return df.select(*columns)
 
 
+class _Block(NamedTuple):
+    """Records that lie side by side in a window of a file which starts ``at`` some place."""
+
+    at: int
+    data: np.ndarray
+    begin: np.ndarray
+    stop: np.ndarray
+    good: np.ndarray  # whether the data fits its checksum
+
+    def records(self) -> Iterator[tuple[int, bytes | None, str | None]]:
+        for a, b, good in zip(self.begin.tolist(), self.stop.tolist(), self.good.tolist()):
+            yield self.at + a - HEAD, self.data[a:b].tobytes() if good else None, None if good else "data does not fit its checksum"
+
+
+class _Irregular(Exception):
+    """Messages laid out otherwise than this module and the usual writers lay them out."""
+
+
+def _need(sound: np.ndarray) -> None:
+    if not sound.all():
+        raise _Irregular
+
+
+def _varints(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers at many places, and the places behind them."""
+    value, at, going = np.zeros(len(at), np.uint64), at.copy(), np.arange(len(at))
+    for shift in range(0, 70, 7):
+        byte = data[np.minimum(at[going], len(data) - 1)]
+        if shift == 63:
+            _need(byte < 2)
+        value[going] |= (byte & 127).astype(np.uint64) << np.uint64(shift)
+        at[going] += 1
+        going = going[byte > 127]
+        if not len(going):
+            break
+    return value, at
+
+
+def _within(data: np.ndarray, at: np.ndarray, tag: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the messages of a tag at many places."""
+    _need(data[np.minimum(at, len(data) - 1)] == tag)
+    size, begin = _varints(data, at + 1)
+    _need(size < len(data))
+    return begin, begin + size.astype(np.int64)
+
+
+def _gathered(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The bytes of many ranges, one range after the other."""
+    size = end - begin
+    return data[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+
+def _places(block: _Block, names: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Begin and end of each wanted feature in each record, begin -1 where it is missing.
+
+    All records of the block are walked side by side, an entry of each at a step.
+    """
+    data, stop = block.data, block.stop
+    keys = {n: np.frombuffer(n.encode(), np.uint8) for n in names}
+    found = {n: (np.full(len(stop), -1, np.int64), np.full(len(stop), -1, np.int64)) for n in names}
+    live = np.flatnonzero(block.begin < stop)
+    at = block.begin.copy()
+    at[live], end = _within(data, at[live], 10)
+    _need(end == stop[live])
+    live = live[at[live] < stop[live]]
+    while len(live):
+        entry, end = _within(data, at[live], 10)
+        _need(end <= stop[live])
+        key, key_end = _within(data, entry, 10)
+        _need(key_end < end)
+        value, value_end = _within(data, key_end, 18)
+        _need(value_end == end)
+        other = np.ones(len(live), bool)
+        for name, letters in keys.items():
+            same = np.flatnonzero(key_end - key == len(letters))
+            same = same[(data[key[same][:, None] + np.arange(len(letters))] == letters).all(1)]
+            found[name][0][live[same]], found[name][1][live[same]] = value[same], end[same]
+            other[same] = False
+        _need(_gathered(data, key[other], key_end[other]) < 128)  # names have to be text
+        at[live] = end
+        live = live[end < stop[live]]
+    return found
+
+
+def _columns(block: _Block, kinds: dict[str, str], types: dict[str, pa.DataType]) -> list[pa.Array]:
+    """The features of all records of a block, one value each, as columns."""
+    data, out = block.data, []
+    for name, (begin, end) in _places(block, list(kinds)).items():
+        kind, there = kinds[name], begin >= 0
+        rows = np.flatnonzero(there)
+        begin, end = begin[rows], end[rows]
+        _need(begin < end)
+        floats = kind in ("float", "double") and len(rows) > 0 and data[begin[0]] == 18
+        inner, inner_end = _within(data, begin, 18 if floats else 26 if kind in WHOLE else 10)
+        _need(inner_end == end)
+        value, value_end = _within(data, inner, 10)
+        _need(value_end == end)
+        if kind in ("string", "binary"):
+            size = np.zeros(len(there), np.int64)
+            size[rows] = end - value
+            bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            buffers = [pa.array(there).buffers()[1], pa.py_buffer(bounds), pa.py_buffer(_gathered(data, value, end))]
+            column = pa.Array.from_buffers(pa.string() if kind == "string" else pa.binary(), len(there), buffers)
+            try:
+                column.validate(full=True)
+            except pa.ArrowInvalid:
+                raise _Irregular from None
+            out.append(column.cast(types[name]))
+            continue
+        if kind in WHOLE:
+            number, behind = _varints(data, value)
+            _need(behind == end)
+            number = number.view(np.int64)
+            if kind == "boolean":
+                number = number != 0
+        else:
+            width = 4 if floats else 8
+            _need((end - value == width) & (floats or kind == "double"))
+            number = data[value[:, None] + np.arange(width)].view(f"<f{width}")[:, 0]
+        full = np.zeros(len(there), types[name].to_pandas_dtype())
+        if number.dtype == np.int64 and full.dtype != np.int64:
+            limits = np.iinfo(full.dtype)
+            _need((number >= limits.min) & (number <= limits.max))
+        full[rows] = number
+        out.append(pa.array(full, types[name], mask=~there))
+    return out
+
+
 class _Chain:
     """The records of one file from a place on."""
 
@@ -243,13 +388,21 @@ class _Chain:
 
     def records(self, start: int, end: int) -> Iterator[tuple[int, bytes | None, str | None]]:
         """(place, data, what is wrong) of the records that start in [start, end)."""
+        for found in self.blocks(start, end):
+            if isinstance(found, _Block):
+                yield from found.records()
+            else:
+                yield found
+
+    def blocks(self, start: int, end: int) -> Iterator[_Block | tuple[int, bytes | None, str | None]]:
+        """As ``records``; those inside a window come as one block."""
         at = self.next_start(start, end) if start else 0
         known = at < end  # whether a record, sound or not, has to start at this place
         while at < end:
             data = self.bytes_at(at, WINDOW)
             places, lengths, read = [], [], 0
             while read + HEAD <= len(data) and at + read < end:
-                length = int(data[read : read + 8].view("<u8")[0])
+                length = struct.unpack_from("<Q", data, read)[0]
                 places.append(read)
                 lengths.append(length)
                 if read + HEAD + length + TAIL > len(data):
@@ -265,10 +418,9 @@ class _Chain:
             inside = [k for k in range(sound) if places[k] + HEAD + lengths[k] + TAIL <= len(data)]
             begin = place[inside] + HEAD
             stop = begin + np.array([lengths[k] for k in inside], np.int64)
-            crc = masked_crc32c(data, begin, stop)
-            for a, b, c in zip(begin.tolist(), stop.tolist(), crc.tolist()):
-                good = int(data[b : b + 4].view("<u4")[0]) == c
-                yield at + a - HEAD, data[a:b].tobytes() if good else None, None if good else "data does not fit its checksum"
+            if inside:
+                told = data[stop[:, None] + np.arange(TAIL)].view("<u4")[:, 0]
+                yield _Block(at, data, begin, stop, masked_crc32c(data, begin, stop) == told)
             if sound < len(places):
                 # Where the next record starts is unknown: look for it.
                 yield at + places[sound], None, "length does not fit its checksum"
@@ -323,27 +475,47 @@ def read_tfrecord(spark: SparkSession, path: str, schema: StructType, mode: str
             out[name] = None if values is None or (not many and not values) else [read(v) for v in values] if many else read(values[0])
         return out
 
+    kinds = {n: k for n, (k, many) in _shape(own).items() if not many}
+    types = {f.name: f.type for f in arrow}
+
+    def columns(block: _Block) -> Iterator[pa.RecordBatch]:
+        arrays = _columns(block, kinds, types) + ([pa.nulls(len(block.good), pa.string())] if told else [])
+        made = pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        for low in range(0, len(made), 10_000):
+            yield made.slice(low, 10_000)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for given in batch.to_pylist():
-                rows, held = [], 0
-                for place, data, fault in _Chain(given["path"], given["length"]).records(given["start"], given["end"]):
-                    if fault is None:
+                for found in _Chain(given["path"], given["length"]).blocks(given["start"], given["end"]):
+                    # Blocks with lists, damage or an unusual layout go record by record.
+                    if isinstance(found, _Block) and readers and len(kinds) == len(readers) and found.good.all():
                         try:
-                            rows.append(row(data))
-                        except (ValueError, TypeError, IndexError, struct.error) as error:
-                            fault = f"not an example of this schema ({error})"
-                    if fault is not None and (told or mode == "FAILFAST"):
-                        text = f"{given['path']} at {place}: {fault}"
-                        if not told:
-                            raise ValueError(text)
-                        rows.append({CORRUPT: text})
-                    held += len(data or b"")
-                    if held > BATCH_BYTES or len(rows) >= 10_000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                            yield from columns(found)
+                            continue
+                        except _Irregular:
+                            pass
+                    yield from single(given["path"], found.records() if isinstance(found, _Block) else [found])
+
+    def single(path: str, records: Iterator[tuple[int, bytes | None, str | None]]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for place, data, fault in records:
+            if fault is None:
+                try:
+                    rows.append(row(data))
+                except (ValueError, TypeError, IndexError, struct.error) as error:
+                    fault = f"not an example of this schema ({error})"
+            if fault is not None and (told or mode == "FAILFAST"):
+                text = f"{path} at {place}: {fault}"
+                if not told:
+                    raise ValueError(text)
+                rows.append({CORRUPT: text})
+            held += len(data or b"")
+            if held > BATCH_BYTES or len(rows) >= 10_000:
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     ddl = _stored(own) + (f"{', ' if own.fields else ''}{CORRUPT} string" if told else "")
     out = file_ranges(spark, path, "*.tfrecord", split_bytes).mapInArrow(run, ddl)
