@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -27,7 +28,7 @@ from pyspark.sql.types import StructType
 from shardloom.llm.common import read, small_batches, whole
 
 MARK = "▁"
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 1_000_000
 LONG_UNIT = 48
 MEMO = 1_000_000
 
@@ -125,11 +126,15 @@ def occurrences(pieces: Pieces, codes: np.ndarray, left: np.ndarray) -> tuple[np
             mid = (low[open_] + high[open_]) // 2
             at = order[mid]
             sign = np.zeros(len(open_), np.int8)
+            rest = np.arange(len(open_))  # pieces that agree so far
             for k in range(pieces.depth):
-                own = pieces.codes[open_, k]
-                there = np.where(left[at] > k, padded[at + k], 0)
-                ended = own == 0  # all of the piece agrees
-                sign = np.where((sign == 0) & ~ended, np.sign(there - own).astype(np.int8), sign)
+                own = pieces.codes[open_[rest], k]
+                rest, own = rest[own != 0], own[own != 0]  # of the others all of the piece agrees
+                if not rest.size:
+                    break
+                there = np.where(left[at[rest]] > k, padded[at[rest] + k], 0)
+                sign[rest] = np.sign(there - own)
+                rest = rest[there == own]
             right = (sign < 0) | (upper & (sign == 0))
             low[open_[right]] = mid[right] + 1
             high[open_[~right]] = mid[~right]
@@ -283,18 +288,32 @@ def decode(pieces: Pieces, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
     return out
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most CHUNK_CHARS characters; a longer text is a range of its own."""
+def chunks(batch: pa.Array) -> Iterator[pa.Array]:
+    """The texts of a batch in slices of at most CHUNK_CHARS characters; a longer text is a slice of its own.
+
+    What the encoder holds beside its known units is many times a slice.
+    """
+    sizes = pc.fill_null(pc.utf8_length(batch), 0).to_numpy(zero_copy_only=False)
     low = size = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
+    for i, n in enumerate(sizes.tolist()):
         if size and size + n > CHUNK_CHARS:
-            yield low, i
-            low = i
-            size = 0
+            yield batch.slice(low, i - low)
+            low, size = i, 0
         size += n
-    if low < len(texts):
-        yield low, len(texts)
+    if low < len(batch):
+        yield batch.slice(low)
+
+
+def encoded(pieces: Pieces, batches: Iterator[pa.Array], check: bool) -> Iterator[pa.Array]:
+    """Structs (ids, round_trip) of all texts, in order; without ``check`` round_trip is true."""
+    encoder = Encoder(pieces)
+    for batch in batches:
+        for part in chunks(batch):
+            texts = part.to_pylist()
+            ids, offsets = encoder(texts)
+            same = [b == (t or "") for b, t in zip(decode(pieces, ids, offsets), texts)] if check else [True] * len(texts)
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+            yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
 
 
 def with_pieces(df: DataFrame, text: str = "text", model_file: str | None = None, check: bool = False) -> DataFrame:
@@ -312,25 +331,7 @@ def with_pieces(df: DataFrame, text: str = "text", model_file: str | None = None
 
     @arrow_udf(StructType.fromDDL(kind))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = sent.value
-        encoder = Encoder(pieces)
-        for batch in batches:
-            texts = batch.to_pylist()
-            all_ids, all_offsets, same = [], [np.zeros(1, np.int64)], []
-            base = 0
-            for low, high in chunks(texts):
-                ids, offsets = encoder(texts[low:high])
-                all_ids.append(ids)
-                all_offsets.append(offsets[1:] + base)
-                base += len(ids)
-                if check:
-                    back = decode(pieces, ids, offsets)
-                    same += [b == (t or "") for b, t in zip(back, texts[low:high])]
-                else:
-                    same += [True] * (high - low)
-            offsets = pa.array(np.concatenate(all_offsets).astype(np.int32))
-            values = pa.array(np.concatenate(all_ids) if all_ids else np.empty(0, np.int32))
-            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, values), pa.array(same, pa.bool_())], ["ids", "round_trip"])
+        yield from encoded(sent.value, batches, check)
 
     told = df.select(whole(df).alias("doc"), run(F.col(text)).alias("told"))
     new = ["ids", "round_trip"] if check else ["ids"]
