@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -29,8 +30,11 @@ HEAD, TAIL = 12, 4
 VARINT, FIXED64, BYTES, FIXED32 = 0, 1, 2, 5
 CORRUPT = "_corrupt_record"
 WINDOW = 8 << 20
+SCAN = 64 << 10  # what a search for a start looks at first
+SHORT = 512  # values up to here are copied side by side
 LONGEST = (1 << 31) - (1 << 20)  # what a column value can hold
 BATCH_BYTES = 16 << 20
+WRITTEN = 4 << 20
 WHOLE = {"tinyint", "smallint", "int", "bigint", "boolean", "date", "timestamp", "timestamp_ntz"}
 
 
@@ -374,16 +378,21 @@ class _Chain:
 
     def next_start(self, at: int, end: int) -> int:
         """The first place in [at, end) where a record starts, else ``end``."""
+        window = SCAN
         while at < end:
-            data = self.bytes_at(at, min(WINDOW, end - at + HEAD - 1))
+            data = self.bytes_at(at, min(window, WINDOW, end - at + HEAD - 1))
             if len(data) < HEAD:
                 return end
-            places = np.arange(len(data) - HEAD + 1)
-            told = data[places[:, None] + np.arange(8, 12)].copy().view("<u4")[:, 0]
-            for place in np.flatnonzero(masked_crc32c(data, places, places + 8) == told).tolist():
+            many, window = len(data) - HEAD + 1, 2 * window
+            # Only lengths that end inside the file are worth a checksum.
+            length = sliding_window_view(data, 8)[:many].copy().view("<u8")[:, 0]
+            room = self.size - at - HEAD - TAIL - np.arange(many)
+            places = np.flatnonzero((room >= 0) & (length <= np.maximum(room, 0).astype(np.uint64)))
+            told = data[places[:, None] + np.arange(8, 12)].view("<u4")[:, 0]
+            for place in places[masked_crc32c(data, places, places + 8) == told].tolist():
                 if at + place < end and self.starts(at + place):
                     return at + place
-            at += len(places)
+            at += many
         return end
 
     def records(self, start: int, end: int) -> Iterator[tuple[int, bytes | None, str | None]]:
@@ -522,6 +531,71 @@ def read_tfrecord(spark: SparkSession, path: str, schema: StructType, mode: str
     return _from_numbers(out, schema)
 
 
+def _put(out: np.ndarray, at: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+    """Copies ranges of ``data`` to places of ``out``."""
+    for a, b, n in zip(*(x[size > SHORT].tolist() for x in (at, begin, size))):
+        out[a : a + n] = data[b : b + n]
+    at, begin, size = (x[size <= SHORT] for x in (at, begin, size))
+    step = np.arange(size.sum())
+    ahead = np.cumsum(size) - size
+    out[np.repeat(at - ahead, size) + step] = data[np.repeat(begin - ahead, size) + step]
+
+
+def _value_bytes(kind: str, values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, begin, size) of a column's values, none null, as a feature holds them."""
+    if kind in ("string", "binary"):
+        values = values.cast(pa.large_binary())
+        _, bounds, content = values.buffers()
+        bounds = np.frombuffer(bounds, np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+        return np.frombuffer(content or b"", np.uint8), bounds[:-1], np.diff(bounds)
+    many = len(values)
+    if kind in WHOLE:
+        number = values.cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64)
+        groups = number[:, None] >> np.arange(0, 70, 7, dtype=np.uint64)
+        size = 1 + (groups[:, 1:] > 0).sum(1)
+        data = (groups & np.uint64(127)).astype(np.uint8) | np.where(np.arange(10) < size[:, None] - 1, 128, 0).astype(np.uint8)
+        return data.reshape(-1), np.arange(many) * 10, size
+    width = 4 if kind == "float" else 8
+    data = values.to_numpy(zero_copy_only=False).astype(f"<f{width}").view(np.uint8)
+    return data, np.arange(many) * width, np.full(many, width)
+
+
+def _lead_bytes(size: np.ndarray, lead) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, begin, size) of what stands before so many bytes, for many sizes."""
+    known, which = np.unique(size, return_inverse=True)
+    leads = [lead(n) for n in known.tolist()]
+    ends = np.cumsum([len(x) for x in leads], dtype=np.int64)
+    lengths = np.diff(ends, prepend=0)
+    return np.frombuffer(b"".join(leads), np.uint8), (ends - lengths)[which], lengths[which]
+
+
+def _record_bytes(batch: pa.RecordBatch, kinds: dict[str, str]) -> np.ndarray:
+    """The records of a batch without lists, with lengths and checksums; messages as ``encoded`` makes them."""
+    body, parts = np.zeros(len(batch), np.int64), []
+    for name, kind in kinds.items():
+        column = batch.column(name)
+        rows = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        value = _value_bytes(kind, column.drop_null())
+        number = 3 if kind in WHOLE else 2 if kind == "float" else 1
+        lead = _lead_bytes(value[2], lambda n: _entry_lead(name, number, len(_lead(1, n)) + n) + _lead(1, n))
+        parts.append((rows, body[rows], lead, value))
+        body[rows] += lead[2] + value[2]
+    lead = _lead_bytes(body, lambda n: _lead(1, n))
+    length = lead[2] + body
+    stop = np.cumsum(length + HEAD + TAIL) - TAIL
+    begin = stop - length
+    out = np.empty(int(stop[-1]) + TAIL if len(stop) else 0, np.uint8)
+    out[(begin - HEAD)[:, None] + np.arange(8)] = length.astype("<u8")[:, None].view(np.uint8)
+    _put(out, begin, *lead)
+    for rows, at, entry, value in parts:
+        at = (begin + lead[2])[rows] + at
+        _put(out, at, *entry)
+        _put(out, at + entry[2], *value)
+    for at, low, high in ((begin - TAIL, begin - HEAD, begin - TAIL), (stop, begin, stop)):
+        out[at[:, None] + np.arange(TAIL)] = masked_crc32c(out, low, high).astype("<u4")[:, None].view(np.uint8)
+    return out
+
+
 def _arrow(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -571,9 +645,12 @@ def write_tfrecord(df: DataFrame, path: str) -> DataFrame:
             if out is None:
                 files.create_dir(root, recursive=True)
                 out = files.open_output_stream(partial)
-            made = records(batch)
-            out.write(made)
-            count, size = count + len(batch), size + len(made)
+            step = max(1, len(batch) * WRITTEN // max(1, batch.nbytes))
+            for low in range(0, len(batch), step):
+                part = batch.slice(low, step)
+                made = records(part) if any(many for _, many in shape.values()) else _record_bytes(part, {n: k for n, (k, _) in shape.items()})
+                out.write(made)
+                count, size = count + len(part), size + len(made)
         if out is not None:
             out.close()
             files.move(partial, f"{root}/{name}")

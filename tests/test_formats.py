@@ -7,6 +7,7 @@ import struct
 import tarfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shardloom.functions.checksums import crc32c, masked_crc32c
@@ -114,6 +115,37 @@ def test_records_longer_than_a_window(monkeypatch, tmp_path):
         assert got == bodies
 
 
+def test_search_for_a_start_takes_few_checksums(monkeypatch, tmp_path):
+    content = b"".join(record(example(n, "t" * (2000 + n % 300))) for n in range(1200))
+    put(str(tmp_path), content)
+    chain, taken = tfrecord._Chain(f"file:{tmp_path}/part-0.tfrecord", len(content)), []
+    monkeypatch.setattr(tfrecord, "masked_crc32c", lambda data, start, end: taken.append(len(start)) or masked_crc32c(data, start, end))
+    at = chain.next_start(1 << 20, len(content))
+    assert sum(taken) < 5000  # before, every place up to the end of the range
+    assert at in {place for place, _, _ in chain.records(0, 2 << 20)} and at - (1 << 20) < 3000
+
+
+def test_written_batches_equal_encoded_rows():
+    kinds = {"a": "bigint", "s": "string", "b": "binary", "f": "float", "d": "double", "o": "boolean", "ü": "date"}
+    numbers = [0, 1, 127, 128, -1, -(1 << 63), (1 << 63) - 1, None]
+    rows = 200
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "a": pa.array([numbers[k % 8] for k in range(rows)], pa.int64()),
+            "s": pa.array([None if k % 5 == 0 else "é" * (k * k % 700) for k in range(rows)]),
+            "b": pa.array([None if k % 7 == 0 else bytes([k]) * (k % 140) for k in range(rows)], pa.binary()),
+            "f": pa.array([None if k % 3 == 0 else k / 7 for k in range(rows)], pa.float32()),
+            "d": pa.array([None if k % 4 == 0 else -k / 3 for k in range(rows)], pa.float64()),
+            "o": pa.array([None if k % 6 == 0 else k % 2 == 0 for k in range(rows)]),
+            "ü": pa.array([None if k % 9 == 0 else -k for k in range(rows)], pa.int32()),
+        }
+    )
+    writers = {n: tfrecord._to_feature(k) for n, k in kinds.items()}
+    for part in (batch, batch.slice(13, 101), batch.slice(0, 1), batch.slice(0, 0)):
+        want = [record(tfrecord.encoded({n: None if v is None else writers[n]([v]) for n, v in row.items()})) for row in part.to_pylist()]
+        assert tfrecord._record_bytes(part, kinds).tobytes() == b"".join(want)
+
+
 def test_empty_files_and_folders(spark):
     path = local(spark, "none")
     put(path, b"")
